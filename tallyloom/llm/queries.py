@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import fingerprint, htmltext, langid, mixing, packing, quality
+from tallyloom.llm import fingerprint, htmltext, langid, linededup, lm, mixing, nearcopies, packing, quality, repeats
 
 
 def tokenizer_path() -> str:
@@ -29,6 +29,15 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text")
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", "n_blocks", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -37,6 +46,10 @@ def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(documents(spark, sf_dir))
 
 
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -48,6 +61,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "class_size", "n_copies", "n_links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
