@@ -51,7 +51,7 @@ def make_chunk(rows: pd.DataFrame) -> list[tuple[int, bytes]]:
         if len(own):
             t, n = tokens_of(encoded(own["text"]))
             vocabulary, place = np.unique(t, return_inverse=True)
-            out.append((kind, pack(own["doc_id"].to_numpy(np.int64), own["role"].to_numpy(np.uint8), n, vocabulary, place.astype(np.uint32))))
+            out.append((kind, pack(own["doc_id"].to_numpy(np.int64), own["role"].to_numpy(np.uint8), n, np.diff(vocabulary, prepend=U64(0)), place.astype(np.uint32))))
     return out
 
 
@@ -59,7 +59,8 @@ class Chunk:
     """The documents of a chunk as token events, with its distinct words and pairs in key order."""
 
     def __init__(self, blob: bytes, parts: int) -> None:
-        self.ids, self.roles, self.sizes, self.words, self.place = unpack(blob)
+        self.ids, self.roles, self.sizes, gaps, self.place = unpack(blob)
+        self.words = np.cumsum(gaps, dtype=U64)
         self.before = np.concatenate([[np.searchsorted(self.words, END)], self.place[:-1]]).astype(np.int64)
         drop = U64(max(0, 24 - max(1, parts - 1).bit_length()))
         w = self.words

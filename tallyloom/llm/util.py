@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes: ten thousand rows may hold long texts. A setting of the session's own stays."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(size))
+    return df
+
+
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -106,20 +117,36 @@ KEY_SCHEMA = "part int, chunk string, blob binary"
 
 
 def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
-    """Arrays (or bytes) as one compressed block."""
-    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
-    kinds = [b"B" if isinstance(a, bytes) else np.dtype(a.dtype).str.encode().ljust(4) for a in arrays]
-    head = b"".join(k.ljust(4) + len(p).to_bytes(8, "little") for k, p in zip(kinds, parts))
-    return zstandard.ZstdCompressor(level=level).compress(bytes([len(parts)]) + head + b"".join(parts))
+    """Arrays (or bytes) as one block; each byte plane of an array is compressed for itself, as only its upper ones are regular."""
+    z, out = zstandard.ZstdCompressor(level=level), [bytes([len(arrays)])]
+    for a in arrays:
+        kind, n = (b"B", 1) if isinstance(a, bytes) else (np.dtype(a.dtype).str.encode(), a.dtype.itemsize)
+        planes = [a] if isinstance(a, bytes) else np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, n).T)
+        out.append(kind.ljust(4))
+        for p in planes:
+            plain = bytes(p)
+            small = z.compress(plain)
+            best = small if len(small) < len(plain) else plain
+            out += [len(plain).to_bytes(8, "little"), len(best).to_bytes(8, "little"), best]
+    return b"".join(out)
 
 
 def unpack(blob: bytes) -> list:
-    raw = zstandard.ZstdDecompressor().decompress(bytes(blob))
-    n, at, out = raw[0], 1 + 12 * raw[0], []
-    for i in range(n):
-        kind, size = raw[1 + 12 * i : 5 + 12 * i].strip(), int.from_bytes(raw[5 + 12 * i : 13 + 12 * i], "little")
-        out.append(raw[at : at + size] if kind == b"B" else np.frombuffer(raw, np.dtype(kind.decode()), size // np.dtype(kind.decode()).itemsize, at))
-        at += size
+    blob, at, out, z = bytes(blob), 1, [], zstandard.ZstdDecompressor()
+    for _ in range(blob[0]):
+        kind = blob[at : at + 4].strip()
+        at += 4
+        planes = []
+        for _ in range(1 if kind == b"B" else np.dtype(kind.decode()).itemsize):
+            full, size = (int.from_bytes(blob[at + k : at + k + 8], "little") for k in (0, 8))
+            p = blob[at + 16 : at + 16 + size]
+            planes.append(p if size == full else z.decompress(p))
+            at += 16 + size
+        if kind == b"B":
+            out.append(planes[0])
+        else:
+            rows = np.stack([np.frombuffer(p, np.uint8) for p in planes])
+            out.append(np.ascontiguousarray(rows.T).view(np.dtype(kind.decode())).reshape(-1))
     return out
 
 
@@ -149,20 +176,7 @@ def chunked(df: DataFrame, make: Callable[[pd.DataFrame], list[tuple[int, bytes]
         if held and sum(map(len, held)):
             yield emit()
 
-    return cut(df.mapInPandas(run, CHUNK_SCHEMA))
-
-
-def split_keys(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, bounds): keys in the order of their partition, the top bits deciding, and where each partition begins."""
-    part = ((keys >> U64(32)) * U64(parts)) >> U64(32)
-    order = np.argsort(keys, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=U64))
-
-
-def deltas(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, in 32 bits where they fit."""
-    d = np.diff(keys, prepend=U64(0))
-    return d
+    return cut(bounded(df).mapInPandas(run, CHUNK_SCHEMA))
 
 
 def serve(asks: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parts: int) -> DataFrame:
