@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import mix, partitions
+from tallyloom.llm.util import bounded, mix, partitions
 
 SLOTS, EMPTY = 128, 0xFFFF
 MASK = (1 << 64) - 1
@@ -138,7 +138,7 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     slot filled; two such are alike by 1. Equal texts have equal fingerprints. A single row is its
     own next document. An empty table gives an empty table; other columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, n = with_next(docs)
     rows = rows.repartition(n, "__bucket").sortWithinPartitions("__bucket", "__guest", F.col("__id").desc(), "text")
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.util import bounded
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|textarea|noscript|iframe|svg|math|select)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S | re.I)
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup header footer nav aside form fieldset dialog menu center hr".split())
@@ -243,5 +245,5 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     def run(x: pd.Series) -> pd.Series:
         return pd.Series([extract(p) for p in x], dtype=object)
 
-    out = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), run(F.col(html)).alias("text"))
+    out = bounded(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), run(F.col(html)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

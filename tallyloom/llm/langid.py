@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import crc_of_id, encoded, slices
+from tallyloom.llm.util import bounded, crc_of_id, encoded, slices
 
 DIMS, PER_LANGUAGE, CENTROIDS, SLACK = 4096, 400, 4, 0.5
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         a, b, c = predict_texts(held.value, x)
         return pd.DataFrame({"lang_pred": a, "score": b.astype(float), "rejected": c})
 
-    out = docs.withColumn("__r", predict(F.col(text)))
+    out = bounded(docs).withColumn("__r", predict(F.col(text)))
     return out.withColumns({k: F.col(f"__r.{k}") for k in ("lang_pred", "score", "rejected")}).drop("__r")
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import cut, partitions
+from tallyloom.llm.util import bounded, cut, partitions
 
 LOWEST = -(1 << 63)
 
@@ -83,7 +83,7 @@ def deleted(a: list[int], b: list[int], size: list[int], df: list[int], rules: R
 
 def deletions(docs: DataFrame, rules: Rules, doc_id: str, text: str) -> DataFrame:
     """(did, th, gone, blocks) of the documents that lose lines: places among their non-blank lines."""
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    slim = bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
     def run(it):
         for pdf in it:

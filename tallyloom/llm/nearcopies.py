@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import cut, encoded, mix, partitions, slices, words
+from tallyloom.llm.util import bounded, cut, encoded, mix, partitions, slices, words
 from tallyloom.operators.graph import connected_components
 
 BITS, STRIP, RADIUS, RECALL, LIST_SIZE, LIST_MOST = 256, 7, 52, 0.95, 1024, 32768
@@ -221,7 +221,7 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, l
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"], **{f"f{k}": f[:, k] for k in range(WORDS)}})
 
     cols = [f"f{k}" for k in range(WORDS)]
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    slim = bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     own = slim.mapInPandas(run, "doc_id long, th long, " + ", ".join(f"{c} long" for c in cols))
     own = cut(own.withColumn("id", F.xxhash64(*cols)))
     prints = cut(own.groupBy("id").agg(*[F.first(c).alias(c) for c in cols], F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("copies")))

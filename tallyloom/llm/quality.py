@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import encoded, slices, words
+from tallyloom.llm.util import bounded, encoded, slices, words
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SCHEMA = f"{COUNTS}, base_failed boolean, whole_ratio double, n_chunks long, low_chunks long, high_chunks long, kept boolean"
@@ -87,4 +87,4 @@ def judge(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFr
         return out
 
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    return docs.withColumn("__r", run(F.col(text))).withColumns({k: F.col(f"__r.{k}") for k in names}).drop("__r")
+    return bounded(docs).withColumn("__r", run(F.col(text))).withColumns({k: F.col(f"__r.{k}") for k in names}).drop("__r")
