@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import cut, partitions
+from tallyloom.llm.util import bounded, cut, partitions, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -62,18 +62,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, floor: int, end_id: i
         encode = encoder(tokenizer)
         known = {r: cuts(r, capacity, floor) for r in range(capacity)}
         for pdf in it:
-            rows = []
-            for d, x in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.array([*(encode(x) if isinstance(x, str) else ()), end_id], "<u4")
-                n, at = len(ids), 0
-                for size in [capacity] * (n // capacity) + known[n % capacity]:
-                    part = ids[at : at + size]
-                    rows.append((d, at, size, zlib.crc32(part.tobytes()), n, part.astype("i4") if with_ids else None))
-                    at += size
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            yield out.astype({"doc_id": "Int64"})
+            for a, b in slices(pdf["text"].fillna("").tolist(), 1 << 20):  # a bounded number of ids at a time
+                rows = []
+                for d, x in zip(pdf["doc_id"].iloc[a:b], pdf["text"].iloc[a:b]):
+                    ids = np.array([*(encode(x) if isinstance(x, str) else ()), end_id], "<u4")
+                    n, at = len(ids), 0
+                    for size in [capacity] * (n // capacity) + known[n % capacity]:
+                        part = ids[at : at + size]
+                        rows.append((d, at, size, zlib.crc32(part.tobytes()), n, part.astype("i4") if with_ids else None))
+                        at += size
+                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, PIECES)
 
 
 def best_fit(rows: list[tuple[int, int]], capacity: int) -> dict[int, tuple[int, int]]:
@@ -98,9 +99,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, cut_flo
     other than the two named ones are ignored. A sequence is padded to `capacity` unless its length
     is a power of two.
     """
-    tall = cut(pieces(docs, tokenizer, capacity, cut_floor, end_id, with_ids, doc_id, text))
-    if not with_ids:
-        tall = tall.drop("ids")
+    tall = cut(pieces(docs, tokenizer, capacity, cut_floor, end_id, False, doc_id, text).drop("ids"))
     workers = partitions(docs)
     tall = tall.withColumn("__worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(workers))).withColumn("__m", F.expr(f"{capacity} div length"))
     count = tall.groupBy("__worker", "__m").agg(F.count("*").alias("__n"))
@@ -131,4 +130,16 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, cut_flo
     rest = ranked.where("__bin >= __bins").select(*names, "__m", "__rank", "__all", F.lit(1).alias("__one")).groupBy("__one").applyInPandas(last, schema)
     out = full.select(*names, "sequence_id", "offset").unionByName(rest)
     used = F.sum("length").over(W.partitionBy("sequence_id"))
-    return out.withColumn("__used", used).withColumn("padded_length", F.expr(f"CASE WHEN (__used & (__used - 1)) = 0 THEN __used ELSE {capacity}L END")).drop("__used")
+    out = out.withColumn("__used", used).withColumn("padded_length", F.expr(f"CASE WHEN (__used & (__used - 1)) = 0 THEN __used ELSE {capacity}L END")).drop("__used")
+    if not with_ids:
+        return out
+    # the ids meet their places last and are shuffled once; pieces that look alike are told apart by number
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    number = F.row_number().over(W.partitionBy(*key).orderBy("sequence_id", "offset"))
+    placed = out.withColumn("__no", number)
+    full_pieces = pieces(docs, tokenizer, capacity, cut_floor, end_id, True, doc_id, text)
+    full_pieces = full_pieces.withColumn("__no", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))).withColumnsRenamed({k: f"__{k}" for k in key} | {"__no": "__n"})
+    same = F.col("__no") == F.col("__n")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return placed.join(full_pieces, same).select(*key, "sequence_id", "offset", "padded_length", "ids")
