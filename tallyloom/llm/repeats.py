@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.util import U64, chunked, cut, encoded, mix, pack, partitions, serve, slices, unpack
 
-LENGTH, GRAM, HOT, CHUNK_BYTES = 200, 32, 20_000, 16 << 20
+LENGTH, GRAM, HOT, CHUNK_BYTES = 200, 32, 20_000, 8 << 20
 LOWEST = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -65,7 +65,7 @@ def window_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = B
 
 
 def runs(raw: list[bytes], length: int, gram: int) -> Iterator[tuple]:
-    """Per slice of texts: (buffer, its place, first window, last window, anchor, anchor's hash) of the runs, as places in the buffer."""
+    """Per slice of texts: (buffer, its place, first window, last window, anchor, anchor's hash, prefix hashes) of the runs, as places in the buffer."""
     ends = np.cumsum([0] + [len(x) for x in raw])
     for a, b in slices(raw, 1 << 20):
         buf = np.frombuffer(b"".join(raw[a:b]), np.uint8)
@@ -95,7 +95,7 @@ def runs(raw: list[bytes], length: int, gram: int) -> Iterator[tuple]:
         edge = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(start) != 1)) + 1
         lo, hi = start[np.concatenate([[0], edge])], start[np.concatenate([edge - 1, [len(start) - 1]])]
         at = anchor[np.concatenate([[0], edge])]
-        yield buf, ends[a], lo, hi, at, h[at], s
+        yield buf, ends[a], lo, hi, at, mix(h[at]), s  # mixed again: minima crowd the low end
 
 
 def make_chunk(rows: pd.DataFrame) -> list[tuple[int, bytes]]:
@@ -143,46 +143,54 @@ def answer_anchors(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
 # Second round: the contexts of those anchors.
 
 
+def hot_windows(body: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first digest, second digest, place) of the windows of the given runs, in digest order."""
+    out = []
+    for k in range(0, len(lo), 1000):  # neighbouring runs share a stretch of the text
+        a, b = lo[k : k + 1000], hi[k : k + 1000]
+        start, end = int(a.min()), int(b.max()) + length
+        if end - start > 64 * (int((b - a + length).sum())):
+            parts = list(zip(a.tolist(), b.tolist()))
+        else:
+            parts = [(start, end - length)]
+        for x, y in parts:
+            buf = np.frombuffer(body, np.uint8, y + length - x, x)
+            own = (a >= x) & (b <= y)
+            n = b[own] - a[own] + 1
+            w = np.repeat(a[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((*(window_hash(prefix_hash(buf, base), w - x, w - x + length, base) for base in BASES), w))
+    if not out:
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
+    w1, w2, wp = (np.concatenate(x) for x in zip(*out))
+    o = np.lexsort((w2, w1))
+    return w1[o], w2[o], wp[o]
+
+
 def ask_contexts(left: pd.DataFrame, right: pd.DataFrame, parts: int, length: int, gram: int) -> pd.DataFrame:
     rows: list = []
     if len(left) and len(right):
         _, sizes, body = texts_of(left["blob"].iloc[0])
         state = np.concatenate([unpack(b)[0] for b in right.sort_values("part")["blob"]])
-        found = list(runs(split(sizes, body), length, gram))
-        keys = np.unique(np.concatenate([r[5] for r in found]))
+        # of a slice only its runs are kept, not its hashes
+        found = [tuple(np.asarray(x) for x in (r[2] + r[1], r[3] + r[1], r[4] + r[1], r[5])) for r in runs(split(sizes, body), length, gram)]
+        lo, hi, at, h = (np.concatenate(x) for x in zip(*found))
+        del found
+        own = state[np.searchsorted(np.unique(h), h)]
         cold: dict[tuple, list] = {}  # (anchor's hash, offset, context) -> places
-        warm: list[tuple] = []
-        for buf, base, lo, hi, at, h, s in found:
-            own = state[np.searchsorted(keys, h)]
-            k = np.flatnonzero(own == 1)
-            if len(k):
-                same = window_hash(s, lo[k], hi[k] + length)
-                data = buf.tobytes()
-                for x, a, b, p, g in zip(h[k].tolist(), lo[k].tolist(), hi[k].tolist(), at[k].tolist(), same.tolist()):
-                    e = cold.get((x, p - a, g))
-                    if e is None:
-                        cold[x, p - a, g] = [data[a : b + length], base + a]
-                    else:
-                        e.append(base + a)
-            k = np.flatnonzero(own == 2)
-            if len(k):
-                n = hi[k] - lo[k] + 1
-                w = np.repeat(lo[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                warm.append((window_hash(s, w, w + length), window_hash(prefix_hash(buf, BASES[1]), w, w + length, BASES[1]), w + base))
+        k = np.flatnonzero(own == 1)
+        for x, a, b, p in zip(h[k].tolist(), lo[k].tolist(), hi[k].tolist(), at[k].tolist()):
+            cold.setdefault((x, p - a, body[a : b + length]), []).append(a)
+        w1, w2, wp = hot_windows(body, lo[own == 2], hi[own == 2], length)
         order = sorted(cold)
         ck = np.array([x[0] for x in order], U64)
-        w1, w2, wp = (np.concatenate(x) for x in zip(*warm)) if warm else (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
-        o = np.lexsort((w2, w1))
-        w1, w2, wp = w1[o], w2[o], wp[o]
         cb, wb = bounds(ck, parts), bounds(w1, parts)
         for i in range(parts):
             own = order[cb[i] : cb[i + 1]]
             x, y = wb[i], wb[i + 1]
             if own or x < y:
-                entries = [cold[e] for e in own]
                 blob = pack(
-                    ck[cb[i] : cb[i + 1]], np.array([e[1] for e in own], np.uint16), np.array([len(e[0]) for e in entries], np.uint16), np.array([len(e) - 1 for e in entries], np.uint32),
-                    np.array([p for e in entries for p in e[1:]], np.uint32), b"".join(e[0] for e in entries), w1[x:y], w2[x:y], wp[x:y].astype(np.uint32),
+                    ck[cb[i] : cb[i + 1]], np.array([e[1] for e in own], np.uint16), np.array([len(e[2]) for e in own], np.uint16), np.array([len(cold[e]) for e in own], np.uint32),
+                    np.array([p for e in own for p in cold[e]], np.uint32), b"".join(e[2] for e in own), w1[x:y], w2[x:y], wp[x:y].astype(np.uint32),
                 )
                 rows.append((i, left["chunk"].iloc[0], blob))
     return pd.DataFrame(rows, columns=["part", "chunk", "blob"])
@@ -319,7 +327,7 @@ def digest(left: pd.DataFrame, right: pd.DataFrame, length: int) -> pd.DataFrame
             first, last = unpack(b)
             np.add.at(cover, first, 1)
             np.add.at(cover, last.astype(np.int64) + length, -1)
-        gone = np.cumsum(cover)[: len(body)] > 0
+        gone = np.cumsum(cover, dtype=np.int32)[: len(body)] > 0
         buf, ends = np.frombuffer(body, np.uint8), np.cumsum(np.concatenate([[0], sizes]))
         for d, a, b in zip(ids.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
             g = gone[a:b]
