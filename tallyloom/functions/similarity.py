@@ -58,6 +58,34 @@ def signature_of(norm: Column, digest: Callable[[str], bytes] = blake2b_64) -> C
     return run(norm)
 
 
+def trigrams(x: str) -> np.ndarray:
+    """Distinct code-point trigrams as sorted numbers; a shorter text is its own only one, an empty text has none."""
+    c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return np.array([-1 - int.from_bytes(c.astype("<u4").tobytes(), "little")], np.int64) if len(c) else c
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 0.0
+
+
+def jaccard_of(first: Column, second: Column) -> Column:
+    """Jaccard similarity of two texts' trigrams; a text that comes again within a batch is cut once."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+        for t in (*x, *y):
+            if t not in known:
+                known[t] = trigrams(t)
+        return pd.Series([jaccard(known[a], known[b]) for a, b in zip(x, y)], dtype="float64")
+
+    return run(first, second)
+
+
 def _prefix(codes: np.ndarray) -> np.ndarray:
     base = np.full(len(codes) + 1, 0x9E3779B97F4A7C15, np.uint64)
     base[0] = 1

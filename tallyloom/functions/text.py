@@ -88,8 +88,3 @@ def preview(text: Column, most: int = 160, strip: bool = False) -> Column:
     head = F.substring(short, 1, most - 3)
     return F.when(F.length(short) > most, F.concat(F.rtrim(head) if strip else head, F.lit("..."))).otherwise(short)
 
-
-def trigrams(norm: Column) -> Column:
-    """Distinct code-point trigrams; a shorter text is its own only one, an empty text has none."""
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - 2, F.lit(1))), lambda i: F.substr(norm, i, F.lit(3))))
-    return F.when(F.length(norm) >= 3, many).when(F.length(norm) > 0, F.array(norm)).otherwise(F.array().cast("array<string>"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.functions.identity import cluster_id, pair_id
-from tallyloom.functions.similarity import blake2b_64, sequence_ratio_of, signature_of
+from tallyloom.functions.similarity import blake2b_64, jaccard_of, sequence_ratio_of, signature_of
 from tallyloom.operators.exact import consistency
 from tallyloom.operators.graph import connected_components, cut
 from tallyloom.spec import NearSpec, TableSpec
@@ -58,14 +58,10 @@ def attached(pairs: DataFrame, prep: DataFrame, columns: list[str]) -> DataFrame
 
 def jaccard(pairs: DataFrame, prep: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
     """Candidates of different texts and like lengths, with length_ratio and the Jaccard of their trigrams, at least the review limit."""
-    used = pairs.select("split", F.col("first_row").alias("row")).union(pairs.select("split", "second_row")).distinct()
-    grams = prep.join(used, ["split", "row"], "left_semi").withColumn("grams", X.trigrams(F.col("norm")))
-    out = attached(pairs, grams, ["norm", "chars", "grams"]).where("norm_1 <> norm_2")
+    out = attached(pairs, prep, ["norm", "chars"]).where("norm_1 <> norm_2")
     out = out.withColumn("length_ratio", F.least("chars_1", "chars_2") / F.greatest("chars_1", "chars_2")).where(F.col("length_ratio") >= near.min_length_ratio)
-    both = F.size(F.array_intersect("grams_1", "grams_2"))
-    either = F.size("grams_1") + F.size("grams_2") - both
-    out = out.withColumn("jaccard", F.when(either > 0, both / F.when(either > 0, either)).otherwise(F.lit(0.0)))
-    return out.where(F.col("jaccard") >= near.review[0]).drop("grams_1", "grams_2", "chars_1", "chars_2")
+    out = out.repartition(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("jaccard", jaccard_of(F.col("norm_1"), F.col("norm_2")))
+    return out.where(F.col("jaccard") >= near.review[0]).drop("chars_1", "chars_2")
 
 
 def classified(near: NearSpec = NearSpec()) -> Column:
@@ -76,7 +72,6 @@ def classified(near: NearSpec = NearSpec()) -> Column:
 def verify(pairs: DataFrame, prep: DataFrame, spec: TableSpec = TableSpec(), near: NearSpec = NearSpec()) -> DataFrame:
     """Verified pairs: pair_id, scores, confidence and label consistency. The ratio runs last, spread evenly, on what the cheap filters leave."""
     found = jaccard(pairs, prep, near)
-    found = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = found.withColumn("sequence_ratio", sequence_ratio_of(F.col("norm_1"), F.col("norm_2"), near.max_sequence_chars))
     found = found.withColumn("confidence", classified(near)).where(F.col("confidence").isNotNull()).withColumn("pair_id", pair_id(F.col("norm_1"), F.col("norm_2"))).drop("norm_1", "norm_2")
     cols = spec.labels.columns

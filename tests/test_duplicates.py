@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tallyloom.functions.similarity import LongestMatch, features, sequence_ratio, simhash
+from tallyloom.functions.similarity import LongestMatch, features, jaccard, sequence_ratio, simhash, trigrams
 from tallyloom.operators import exact, near
 from tallyloom.operators.graph import connected_components, union_find
 from tallyloom.spec import ASPECTS, NearSpec, TableSpec
@@ -65,6 +65,8 @@ def test_cluster_scores(spark):
 def test_simhash():
     a, b, empty = simhash(["áo cotton mềm và đẹp", "áo cotton mềm và đẹp", ""])
     assert a == b and empty == -1  # ties set the bit
+    assert [len(trigrams(x)) for x in ("abcd", "ab", "", "aaaa")] == [2, 1, 0, 1]
+    assert jaccard(trigrams("abcd"), trigrams("abce")) == 1 / 3 and jaccard(trigrams(""), trigrams("")) == 0.0 and jaccard(trigrams("ab"), trigrams("ab")) == 1.0
     assert features("a b c") == {"a", "b", "c", "a␟b", "b␟c"}
 
 

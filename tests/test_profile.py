@@ -76,8 +76,6 @@ def test_keys_and_previews(spark):
     p = [r[0] for r in df.select(X.preview(df.t)).collect()]
     assert p[0] == "a" * 156 + " ..." and p[1] == "x y"
     assert df.select(X.preview(df.t, 180, strip=True)).collect()[2][0] == "w" * 176 + "..."
-    t = spark.createDataFrame([("abcd",), ("ab",), ("",)], "t string")
-    assert [sorted(r[0]) for r in t.select(X.trigrams(t.t)).collect()] == [["abc", "bcd"], ["ab"], []]
 
 
 def test_white_space_class_is_that_of_python(spark):
