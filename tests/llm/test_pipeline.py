@@ -40,4 +40,4 @@ def test_stages(spark, tmp_path):
         docs = out
         seen.append(name)
     assert seen == ["language_id", "line_dedup", "near_dedup", "mix_sources", "packing"]
-    assert entry.queries()["pipeline"] is corpus_pipeline.run
+    assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
