@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    docs, labels = io.read_table(spark, f"{sf_dir}/documents.parquet"), read(spark, sf_dir, "labels")
     d = F.col("doc_id")
     aspects = {
         "material": F.col("quality") + 2 * F.col("toxic"),

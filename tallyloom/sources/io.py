@@ -61,6 +61,13 @@ def file_sha256(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table in at least as many partitions as there are cores: a file of one row group would keep all but one idle. Tables of many splits are left as they are."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, force: bool = False, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite" if force else "errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
