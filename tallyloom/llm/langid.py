@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.util import bounded, crc_of_id, encoded, slices
 
-DIMS, PER_LANGUAGE, CENTROIDS, SLACK = 4096, 400, 4, 0.5
+DIMS, PER_LANGUAGE, CENTROIDS, SLACK = 4096, 400, 4, 0.4
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[:128] = [i if 97 <= i <= 122 else 32 for i in range(128)]
 

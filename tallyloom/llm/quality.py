@@ -20,8 +20,8 @@ SCHEMA = f"{COUNTS}, base_failed boolean, whole_ratio double, n_chunks long, low
 class Bands:
     """Accepted ratio of compressed to plain bytes, (length below which it holds, least, most); prose needs more bytes of context to compress, so short texts get higher limits."""
 
-    whole: tuple = ((128, 0.45, 2.0), (256, 0.40, 1.20), (512, 0.38, 0.95), (1024, 0.34, 0.85), (2048, 0.32, 0.80), (4096, 0.30, 0.75), (16384, 0.27, 0.72), (1 << 62, 0.24, 0.70))
-    chunk: tuple = (0.28, 0.85)
+    whole: tuple = ((128, 0.45, 2.0), (256, 0.40, 1.20), (512, 0.38, 0.92), (1024, 0.34, 0.80), (2048, 0.32, 0.72), (4096, 0.30, 0.68), (16384, 0.27, 0.62), (1 << 62, 0.24, 0.60))
+    chunk: tuple = (0.28, 0.75)
     chunk_bytes: int = 2048
     bad_share: float = 0.34  # of the chunks, beyond which the text is rejected
     level: int = 3

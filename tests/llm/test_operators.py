@@ -1,5 +1,6 @@
 """Each operator against a brute-force version and on awkward rows."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -135,11 +136,13 @@ def test_bands(spark, awkward, nothing):
     prose = " ".join(rng.choice(vocabulary) if rng.random() < 0.6 else "the" for _ in range(700))
     noise = " ".join("".join(chr(rng.randint(33, 0x2FF)) for _ in range(9)) for _ in range(700))
     half = prose + " " + " ".join(f"again and again {i % 7}" for i in range(1500))
-    df = spark.createDataFrame([(0, prose), (1, "buy now " * 900), (2, noise), (3, half)], "doc_id long, text string")
+    code = " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(60))
+    df = spark.createDataFrame([(0, prose), (1, "buy now " * 900), (2, noise), (3, half), (4, code)], "doc_id long, text string")
     got = {r.doc_id: r for r in quality.judge(df).collect()}
     assert got[0].kept and not got[1].kept and got[1].base_failed
     assert not got[2].kept and got[2].whole_ratio > 0.7
     assert not got[3].kept and got[3].low_chunks > 0
+    assert not got[4].kept and not got[4].base_failed
     out = quality.judge(awkward).collect()
     assert len(out) == len(AWKWARD) and not any(r.kept for r in out) and all(r.n_words == 0 and r.base_failed for r in out if not (r.text or "").strip())
     assert quality.judge(nothing).count() == 0
