@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}_]"
 # Decimal digits, and what str.isdigit adds to them.
 DIGIT = r"[\p{Nd}\x{B2}\x{B3}\x{B9}\x{1369}-\x{1371}\x{19DA}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
 PATTERNS = {
-    "url": rf"(?i)(?<!{WORD})(?:https?://|www\.){NOT_WS}+",
+    "url": rf"(?i)(?<!{WORD})(?:www\.|http(?:s|)://){NOT_WS}+",
     "emoji_like": r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{20E3}]",
     "tab": r"\t",
     "line_break": r"\r\n|\r|\n",
@@ -26,7 +26,7 @@ PATTERNS = {
     "repeated_punctuation": r"[!?.,;:]{2,}",
     "digit_character": DIGIT,
 }
-PRODUCT_CODE = rf"(?<!{WORD})(?=[A-Z0-9-]*[A-Z])(?=[A-Z0-9-]*[0-9])[A-Z0-9]+(?:-[A-Z0-9]+)*(?!{WORD})"
+PRODUCT_CODE = rf"(?<!{WORD})(?=[A-Z-]*[0-9])(?=[0-9-]*[A-Z])[0-9A-Z]+(?:-[0-9A-Z]+)*(?!{WORD})"
 _ZERO_WIDTH = str.maketrans("", "", "​‌‍﻿")
 
 

@@ -146,7 +146,7 @@ def validate_processed(df: DataFrame, spec: TableSpec = TableSpec(id="review_id"
 
 def label_rollup(issues: DataFrame) -> DataFrame:
     """Null and invalid labels summed over issues; an issue without a count counts as 1."""
-    bad = F.col("code").isin("invalid_label_type", "non_integer_label", "label_out_of_range")
+    bad = F.col("code").isin("non_integer_label", "label_out_of_range", "invalid_label_type")
     n = F.coalesce("count", F.lit(1))
     return issues.agg(F.coalesce(F.sum(F.when(F.col("code") == "null_label", n)), F.lit(0)).alias("null_labels"), F.coalesce(F.sum(F.when(bad, n)), F.lit(0)).alias("invalid_labels"))
 

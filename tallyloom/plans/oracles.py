@@ -90,7 +90,7 @@ def percentiles() -> str:
     return union([f"SELECT split, metric, 'p{round(p * 100):02d}' AS percentile, round(quantile_cont(value, {p}), 6) AS value FROM u GROUP BY ALL" for p in PERCENTILES])
 
 
-RE2 = dict(PATTERNS) | {"url": rf"(?i)\b(?:https?://|www\.){NOT_WS}+", "digit_character": DIGIT}
+RE2 = dict(PATTERNS) | {"url": rf"(?i)\b(?:www\.|http(?:s|)://){NOT_WS}+", "digit_character": DIGIT}
 SIGNATURES = f"""n AS (SELECT source_split AS split, source_id AS row, {norm('text')} AS norm FROM r),
 e AS (SELECT *, regexp_extract_all(norm, '{WORD}+') AS w FROM n),
 el AS (SELECT * FROM e WHERE length(norm) >= 30 AND len(w) >= 6),

@@ -6,12 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-ASPECTS = ("material", "design", "size", "price", "service")
-LABEL_NAMES = {0: "not_mentioned", 1: "negative", 2: "neutral", 3: "positive"}
+ASPECTS = tuple("material design size price service".split())
+LABEL_NAMES = dict(enumerate("not_mentioned negative neutral positive".split()))
 SEED = 42
-SPLITS = ("train", "validation", "test")
-RATIOS = {"train": 0.70, "validation": 0.15, "test": 0.15}
-PERCENTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+SPLITS = tuple("train validation test".split())
+RATIOS = dict(zip(SPLITS, (0.70, 0.15, 0.15)))
+PERCENTILES = tuple(p / 100 for p in (0, 1, 5, 25, 50, 75, 90, 95, 99, 100))
 MISSING = "missing"
 
 
@@ -62,4 +62,3 @@ INTERIM = _s(
     ("group_conflict_policy", _STR), ("retain_for_processing", _BOOL), ("requires_manual_review", _BOOL),
 )
 MEMBERSHIP = _s(("review_id", _STR), ("group_id", _STR), ("split", _STR))
-PROCESSED = ("review_id", "group_id", "text", *ASPECTS, "split")

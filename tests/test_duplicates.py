@@ -37,9 +37,9 @@ def test_null_text_is_refused(spark):
         exact.require_text(frame(spark, [(1, None, *[0] * 5)]), TableSpec())
 
 
-BASE = "Quần bị chật phần eo không ních vào nổi. Giá cả thì đắt đỏ lố bịch so với thị trường. Shop hỗ trợ đổi size nhanh."
-LIKE = "Quần bị chật phần eo không ních vào nổi. Giá cả thì đắt đỏ lố bịch so với thị trường. Shop hỗ trợ đổi kích cỡ nhanh."
-OTHER = "Áo có chất liệu cotton mềm mại, thiết kế đẹp và giao hàng đúng hẹn nên mình khá hài lòng."
+BASE = "Áo khoác màu xanh mặc rất ấm nhưng tay hơi dài. Đường may chắc chắn, vải dày dặn và không ra màu khi giặt lần đầu."
+LIKE = "Áo khoác màu xanh mặc rất ấm nhưng tay hơi rộng. Đường may chắc chắn, vải dày dặn và không ra màu khi giặt lần đầu."
+OTHER = "Giày đi êm chân, hộp bị móp lúc nhận hàng, nhân viên trả lời tin nhắn chậm mất hai ngày liền."
 
 
 def test_near_pairs_and_clusters(spark):

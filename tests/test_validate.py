@@ -7,6 +7,9 @@ from tallyloom.spec import ASPECTS, TableSpec
 SCHEMA = "source_id long, row_index long, source_split string, text string, " + ", ".join(f"{a} double" for a in ASPECTS)
 
 
+Z = (0.0,) * 4
+
+
 def raw(spark, rows):
     return spark.createDataFrame([(i, n, "train", t, *labels) for n, (i, t, *labels) in enumerate(rows)], SCHEMA)
 
@@ -22,7 +25,7 @@ def test_sound_table_has_no_issues(spark):
 
 
 def test_broken_table(spark):
-    df = raw(spark, [(1, "good", 4.0, 0.0, 0.0, 0.0, 0.0), (2, " \t ", 1.5, 0.0, 0.0, 0.0, 0.0), (3, None, None, float("nan"), 0.0, 0.0, 0.0)]).drop("service").withColumn("more", F.lit(1))
+    df = raw(spark, [(1, "good", 4.0, *Z), (2, " \t ", 1.5, *Z), (3, None, None, float("nan"), 0.0, 0.0, 0.0)]).drop("service").withColumn("more", F.lit(1))
     got = found(df)
     assert got["missing_required_columns", "service"][0] == "error"
     assert got["unexpected_columns", "more"][0] == "warning"
@@ -37,8 +40,8 @@ def test_broken_table(spark):
 
 
 def test_repeated_rows_are_warnings(spark):
-    row = (1, "same", 0.0, 0.0, 0.0, 0.0, 0.0)
-    df = raw(spark, [row, (2, "other", 0.0, 0.0, 0.0, 0.0, 0.0), row])
+    row = (1, "same", 0.0, *Z)
+    df = raw(spark, [row, (2, "other", 0.0, *Z), row])
     got = found(df)
     assert got["duplicate_rows", None][:2] == ("warning", 2)
     assert got["duplicate_review_text", "text"][:2] == ("warning", 2)
@@ -46,14 +49,14 @@ def test_repeated_rows_are_warnings(spark):
 
 
 def test_no_rows_and_empty_split(spark):
-    df = raw(spark, [(1, "x", 0.0, 0.0, 0.0, 0.0, 0.0)])
+    df = raw(spark, [(1, "x", 0.0, *Z)])
     assert ("no_splits", None) in found(df.limit(0))
     got = V.validate_raw(df, expected_splits=["train", "test"]).collect()
     assert [(r.code, r.split) for r in got] == [("empty_split", "test")]
 
 
 def test_samples_stop_at_ten(spark):
-    df = raw(spark, [(i, None, 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(15)])
+    df = raw(spark, [(i, None, 0.0, *Z) for i in range(15)])
     assert found(df)["null_review", "text"][1:] == (15, list(range(10)))
 
 
@@ -70,7 +73,7 @@ def test_processed_contract(spark):
     assert [(r.code, r.severity, r.sample_rows) for r in one] == [("missing_label", "warning", [1])]
     bad = [("r1", " ", "a", 4.0, 1.5, 2.0, 3.0, 0.0, "train"), ("r1", "g2", "", 0.0, 1.0, 2.0, 3.0, 0.0, "dev")]
     got = V.validate_processed(processed(spark, bad).drop("service"), spec).orderBy("no").collect()
-    assert [r.code for r in got] == ["missing_required_columns", "empty_group_id", "empty_text", "invalid_split", "label_out_of_range", "non_integer_label", "duplicate_review_id"]
+    assert [r.code for r in got] == "missing_required_columns empty_group_id empty_text invalid_split label_out_of_range non_integer_label duplicate_review_id".split()
     assert not any(r.code == "label_out_of_range" and r.column == "design" for r in got)  # a fraction is not out of range here
     assert [r.code for r in V.validate_processed(processed(spark, good).limit(0), spec).collect()] == ["empty_dataset"]
 
