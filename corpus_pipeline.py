@@ -6,7 +6,6 @@ applies them to the documents table.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import langid, linededup, mixing, nearcopies, packing
 from tallyloom.llm.queries import tokenizer_path
+from tallyloom.operators.graph import shared_folder
 
 #: No stage but the last is SQL: language models, patience diff, SimHash and tokenizers are tested against brute force.
 ORACLE_SQL = None
@@ -59,7 +59,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over documents; stages hand over in the session's checkpoint folder, a temporary one where none is set."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    where = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{where}/{name}-{uuid.uuid4().hex}"

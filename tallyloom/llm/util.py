@@ -8,7 +8,6 @@ A key therefore reaches its partition at most once per chunk, however hot it is.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,18 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.graph import cut  # noqa: F401
+
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share and return what was written."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
