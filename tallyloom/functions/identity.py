@@ -22,8 +22,9 @@ def duplicate_group_id(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
-def pair_id(first_norm: Column, second_norm: Column) -> Column:
-    return F.sha2(F.concat_ws(":", duplicate_group_id(first_norm), duplicate_group_id(second_norm)), 256)
+def pair_id(first_group: Column, second_group: Column) -> Column:
+    """Of two texts' duplicate_group_id, the earlier row's first."""
+    return F.sha2(F.concat_ws(":", first_group, second_group), 256)
 
 
 def cluster_id(ids_in_row_order: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Near-duplicate pairs and clusters within a source split: SimHash bands, then lexical verification."""
+"""Near-duplicate pairs and clusters within a source split: SimHash bands, then lexical verification.
+
+Copies of a text are taken together first: signatures, buckets and the costly kernels see each text
+once, and counts of row pairs come from multiplicities.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
-from tallyloom.functions.identity import cluster_id, pair_id
+from tallyloom.functions.identity import cluster_id, duplicate_group_id, pair_id
 from tallyloom.functions.similarity import blake2b_64, jaccard_of, sequence_ratio_of, signature_of
 from tallyloom.operators.exact import consistency
 from tallyloom.operators.graph import connected_components, cut
@@ -25,27 +29,41 @@ def eligible(prep: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
     return prep.where((F.col("chars") >= near.min_chars) & (F.col("tokens") >= near.min_tokens))
 
 
-def signatures(prep: DataFrame, near: NearSpec = NearSpec(), digest: Callable[[str], bytes] = blake2b_64) -> DataFrame:
-    """(split, row, sig) of eligible rows: 8 bytes stand for a text from here on."""
-    return eligible(prep, near).select("split", "row", signature_of(F.col("norm"), digest).alias("sig"))
+def distinct_texts(prep: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
+    """(split, row, norm, chars, n): eligible texts once each, by their first row; n rows have the text. A hot text is combined on the map side."""
+    rows = eligible(prep, near).withColumn("__k", F.sha2("norm", 256))
+    return rows.groupBy("split", "__k").agg(F.min("row").alias("row"), F.first("norm").alias("norm"), F.first("chars").alias("chars"), F.count("*").alias("n")).drop("__k")
+
+
+def signatures(texts: DataFrame, digest: Callable[[str], bytes] = blake2b_64) -> DataFrame:
+    """(split, row, n, sig): 8 bytes stand for a text from here on."""
+    return texts.select("split", "row", "n", signature_of(F.col("norm"), digest).alias("sig"))
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def band_matches(sigs: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
-    """(split, first_row, second_row, distance) once per shared band: equal signatures are grouped by Catalyst's hash join; AQE splits hot buckets."""
+def banded(sigs: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
     mask = (1 << near.band_bits) - 1
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("sig", near.band_bits * i).bitwiseAND(F.lit(mask)).alias("key")) for i in range(near.bands)])
-    one = sigs.select("split", "row", "sig", F.inline(bands))
-    a, b = one.alias("a"), one.alias("b")
-    same = (F.col("a.split") == F.col("b.split")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row"))
-    return a.join(b, same).select("a.split", F.col("a.row").alias("first_row"), F.col("b.row").alias("second_row"), hamming(F.col("a.sig"), F.col("b.sig")).alias("distance"))
+    return sigs.select("split", "row", "n", "sig", F.inline(bands))
+
 
+def band_matches(sigs: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
+    """(split, raw_matches): pairs of rows that share a band, once per band, from bucket sizes: no pair is formed."""
+    size = banded(sigs, near).groupBy("split", "band", "key").agg(F.sum("n").alias("m"))
+    return size.groupBy("split").agg(F.sum(F.expr("m * (m - 1) div 2")).alias("raw_matches"))
 
-def candidates(matches: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
-    return matches.where(F.col("distance") <= near.max_hamming).dropDuplicates(["split", "first_row", "second_row"])
+
+def candidates(sigs: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
+    """(split, first_row, second_row, n_1, n_2, distance): different texts, by their first rows, that share a band and lie within the distance. AQE splits hot buckets."""
+    one = banded(sigs, near)
+    a, b = one.alias("a"), one.alias("b")
+    same = (F.col("a.split") == F.col("b.split")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row"))
+    distance = hamming(F.col("a.sig"), F.col("b.sig"))
+    pairs = a.join(b, same & (distance <= near.max_hamming)).select("a.split", F.col("a.row").alias("first_row"), F.col("b.row").alias("second_row"), F.col("a.n").alias("n_1"), F.col("b.n").alias("n_2"), distance.alias("distance"))
+    return pairs.dropDuplicates(["split", "first_row", "second_row"])
 
 
 def attached(pairs: DataFrame, prep: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,29 +74,51 @@ def attached(pairs: DataFrame, prep: DataFrame, columns: list[str]) -> DataFrame
     return pairs
 
 
-def jaccard(pairs: DataFrame, prep: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
-    """Candidates of different texts and like lengths, with length_ratio and the Jaccard of their trigrams, at least the review limit."""
-    out = attached(pairs, prep, ["norm", "chars"]).where("norm_1 <> norm_2")
+def jaccard(pairs: DataFrame, texts: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
+    """Candidates of like lengths, with length_ratio and the Jaccard of their trigrams, at least the review limit."""
+    out = attached(pairs, texts, ["norm", "chars"])
     out = out.withColumn("length_ratio", F.least("chars_1", "chars_2") / F.greatest("chars_1", "chars_2")).where(F.col("length_ratio") >= near.min_length_ratio)
     out = out.repartition(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn("jaccard", jaccard_of(F.col("norm_1"), F.col("norm_2")))
     return out.where(F.col("jaccard") >= near.review[0]).drop("chars_1", "chars_2")
 
 
-def classified(near: NearSpec = NearSpec()) -> Column:
-    j, s = F.col("jaccard"), F.col("sequence_ratio")
-    return F.when((j >= near.high[0]) & (s >= near.high[1]), F.lit("high_confidence")).when((j >= near.review[0]) & (s >= near.review[1]), F.lit("needs_review"))
+def classified(ratio: Column, near: NearSpec = NearSpec()) -> Column:
+    j = F.col("jaccard")
+    return F.when((j >= near.high[0]) & (ratio >= near.high[1]), F.lit("high_confidence")).when((j >= near.review[0]) & (ratio >= near.review[1]), F.lit("needs_review"))
+
 
+def verified_texts(pairs: DataFrame, texts: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
+    """Text pairs with their sequence ratios, which run last, spread evenly, on what the cheap filters leave.
 
-def verify(pairs: DataFrame, prep: DataFrame, spec: TableSpec = TableSpec(), near: NearSpec = NearSpec()) -> DataFrame:
-    """Verified pairs: pair_id, scores, confidence and label consistency. The ratio runs last, spread evenly, on what the cheap filters leave."""
-    found = jaccard(pairs, prep, near)
-    found = found.withColumn("sequence_ratio", sequence_ratio_of(F.col("norm_1"), F.col("norm_2"), near.max_sequence_chars))
-    found = found.withColumn("confidence", classified(near)).where(F.col("confidence").isNotNull()).withColumn("pair_id", pair_id(F.col("norm_1"), F.col("norm_2"))).drop("norm_1", "norm_2")
-    cols = spec.labels.columns
-    found = attached(found, prep, ["id", *cols])
-    conflict = F.array_compact(F.array(*[F.when(F.col(f"{a}_1") != F.col(f"{a}_2"), F.lit(a)) for a in cols]))
-    mixed = F.array_compact(F.array(*[F.when(F.col(f"{a}_1").isNull() != F.col(f"{a}_2").isNull(), F.lit(a)) for a in cols]))
-    return found.select("pair_id", "split", "first_row", "second_row", F.col("id_1").alias("first_id"), F.col("id_2").alias("second_id"), "distance", "length_ratio", "jaccard", "sequence_ratio", "confidence", conflict.alias("conflicting"), mixed.alias("mixed_missing"))
+    The ratio is not symmetric: ratio_12 has the text of first_row as the earlier one; ratio_21 is for copies in the other order.
+    """
+    found = jaccard(pairs, texts, near)
+    found = found.withColumn("ratio_12", sequence_ratio_of(F.col("norm_1"), F.col("norm_2"), near.max_sequence_chars))
+    # without copies there is no other order; equal texts have ratio 1 at once
+    other = F.when((F.col("n_1") > 1) | (F.col("n_2") > 1), F.col("norm_2")).otherwise(F.lit(""))
+    found = found.withColumn("ratio_21", sequence_ratio_of(other, F.when(other != "", F.col("norm_1")).otherwise(F.lit("")), near.max_sequence_chars))
+    keep = classified(F.col("ratio_12"), near).isNotNull() | classified(F.col("ratio_21"), near).isNotNull()
+    return found.where(keep).withColumns({"key_1": duplicate_group_id(F.col("norm_1")), "key_2": duplicate_group_id(F.col("norm_2"))}).drop("norm_1", "norm_2")
+
+
+def verify(found: DataFrame, prep: DataFrame, spec: TableSpec = TableSpec(), near: NearSpec = NearSpec()) -> DataFrame:
+    """Row pairs of verified text pairs: pair_id, scores, confidence and label consistency.
+
+    A pair of texts with m and n copies has m * n rows here, as the report lists pairs of rows; verified_texts() is the
+    same without the copies.
+    """
+    cols = ["row", "id", *spec.labels.columns]
+    rows = eligible(prep, near).withColumn("__k", F.sha2("norm", 256))
+    for side in (1, 2):
+        own = rows.select("split", F.col("__k").alias(f"key_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols])
+        found = found.join(own, ["split", f"key_{side}"])
+    ahead = F.col("row_1") < F.col("row_2")
+    pick = lambda c, side: F.when(ahead, F.col(f"{c}_{side}")).otherwise(F.col(f"{c}_{3 - side}"))
+    found = found.withColumn("sequence_ratio", F.when(ahead, F.col("ratio_12")).otherwise(F.col("ratio_21")))
+    found = found.withColumn("confidence", classified(F.col("sequence_ratio"), near)).where(F.col("confidence").isNotNull())
+    conflict = F.array_compact(F.array(*[F.when(F.col(f"{a}_1") != F.col(f"{a}_2"), F.lit(a)) for a in spec.labels.columns]))
+    mixed = F.array_compact(F.array(*[F.when(F.col(f"{a}_1").isNull() != F.col(f"{a}_2").isNull(), F.lit(a)) for a in spec.labels.columns]))
+    return found.select(pair_id(pick("key", 1), pick("key", 2)).alias("pair_id"), "split", pick("row", 1).alias("first_row"), pick("row", 2).alias("second_row"), pick("id", 1).alias("first_id"), pick("id", 2).alias("second_id"), "distance", "length_ratio", "jaccard", "sequence_ratio", "confidence", conflict.alias("conflicting"), mixed.alias("mixed_missing"))
 
 
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
@@ -109,25 +149,31 @@ def ordered_clusters(found: DataFrame) -> DataFrame:
 
 
 def analyze(df: DataFrame, spec: TableSpec = TableSpec(), near: NearSpec = NearSpec(), digest: Callable[[str], bytes] = blake2b_64) -> dict[str, DataFrame]:
-    """The whole analysis: prepared rows, signatures, band matches, candidates, pairs, clusters and the summary per split.
+    """The whole analysis: prepared rows, distinct texts, signatures, candidates, pairs, clusters and the summary per split.
 
-    The prepared table, the signatures and the verified pairs are each cut by a checkpoint, as later
-    steps read them several times.
+    Steps that later ones read several times are cut by checkpoints.
     """
     prep = cut(prepared(df, spec))
-    sigs = cut(signatures(prep, near, digest))
-    matches = band_matches(sigs, near)
-    found = cut(candidates(matches, near))
-    pairs = cut(verify(found, prep, spec, near))
+    texts = cut(distinct_texts(prep, near))
+    sigs = cut(signatures(texts, digest))
+    found = cut(candidates(sigs, near))
+    pairs = cut(verify(cut(verified_texts(found, texts, near)), prep, spec, near))
     groups = cut(clusters(pairs, prep, spec))
-    return {"prepared": prep, "signatures": sigs, "matches": matches, "candidates": found, "pairs": pairs, "clusters": groups, "summary": summary(prep, sigs, matches, found, pairs, groups)}
+    return {"prepared": prep, "texts": texts, "signatures": sigs, "candidates": found, "pairs": pairs, "clusters": groups, "summary": summary(prep, sigs, found, pairs, groups, near)}
+
+
+def candidate_counts(sigs: DataFrame, found: DataFrame) -> DataFrame:
+    """(split, candidate_pairs): pairs of rows within the distance, copies of one text included, from multiplicities."""
+    across = found.select("split", (F.col("n_1") * F.col("n_2")).alias("w"))
+    within = sigs.select("split", F.expr("n * (n - 1) div 2").alias("w"))
+    return across.union(within).groupBy("split").agg(F.sum("w").alias("candidate_pairs"))
 
 
-def summary(prep: DataFrame, sigs: DataFrame, matches: DataFrame, found: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+def summary(prep: DataFrame, sigs: DataFrame, found: DataFrame, pairs: DataFrame, groups: DataFrame, near: NearSpec = NearSpec()) -> DataFrame:
     count = lambda df, name, test=None: df.groupBy("split").agg((F.count("*") if test is None else F.count_if(F.expr(test))).alias(name))
     out = count(prep, "rows")
     for part in (
-        count(sigs, "eligible"), count(matches, "band_matches"), count(found, "candidate_pairs"), count(pairs, "verified_pairs"),
+        sigs.groupBy("split").agg(F.sum("n").alias("eligible")), band_matches(sigs, near), candidate_counts(sigs, found), count(pairs, "verified_pairs"),
         count(pairs, "high_pairs", "confidence = 'high_confidence'"), count(pairs, "review_pairs", "confidence = 'needs_review'"), count(pairs, "conflict_pairs", "size(conflicting) > 0"),
         count(groups, "clusters"), count(groups, "conflict_clusters", "size(conflicting) > 0"), groups.groupBy("split").agg(F.sum("member_count").alias("clustered_rows")),
     ):

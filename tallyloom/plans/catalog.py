@@ -157,28 +157,31 @@ def exact_label_conflicts(spark, sf):
 
 
 def native_signatures(spark, sf) -> tuple[DataFrame, DataFrame]:
-    prep = cut(near.prepared(reviews(spark, sf), SPEC))
-    return prep, cut(near.signatures(prep, NATIVE, sha2_64))
+    """Distinct texts and their SHA-256 signatures, which SQL can reproduce."""
+    texts = cut(near.distinct_texts(near.prepared(reviews(spark, sf), SPEC), NATIVE))
+    return texts, cut(near.signatures(texts, sha2_64))
 
 
 def near_signatures(spark, sf):
-    return near.signatures(near.prepared(reviews(spark, sf), SPEC), NATIVE, sha2_64).select("split", F.col("row").alias("row_no"), "sig")
+    return native_signatures(spark, sf)[1].select("split", F.col("row").alias("row_no"), "n", "sig")
 
 
 def near_band_matches(spark, sf):
-    _, sigs = native_signatures(spark, sf)
-    return near.band_matches(sigs, NATIVE).groupBy("split").agg(F.count("*").alias("raw_matches"), F.sum(F.col("distance").cast("long")).alias("distance_sum"))
+    return near.band_matches(native_signatures(spark, sf)[1], NATIVE)
 
 
 def near_candidates(spark, sf):
+    return near.candidates(native_signatures(spark, sf)[1], NATIVE).withColumn("distance", F.col("distance").cast("long"))
+
+
+def near_candidate_counts(spark, sf):
     _, sigs = native_signatures(spark, sf)
-    return near.candidates(near.band_matches(sigs, NATIVE), NATIVE).select("split", "first_row", "second_row", F.col("distance").cast("long").alias("distance"))
+    return near.candidate_counts(sigs, near.candidates(sigs, NATIVE))
 
 
 def near_jaccard(spark, sf):
-    prep, sigs = native_signatures(spark, sf)
-    found = near.jaccard(near.candidates(near.band_matches(sigs, NATIVE), NATIVE), prep, NATIVE)
-    return rounded(found.select("split", "first_row", "second_row", "length_ratio", "jaccard"))
+    texts, sigs = native_signatures(spark, sf)
+    return rounded(near.jaccard(near.candidates(sigs, NATIVE), texts, NATIVE).select("split", "first_row", "second_row", "length_ratio", "jaccard"))
 
 
 def near_pairs(spark, sf):
@@ -212,10 +215,10 @@ def order_keys(spark, sf):
 
 
 def native_evidence(spark, sf) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Interim rows with exact evidence and candidate pairs at distance up to 3 as near evidence."""
+    """Interim rows with exact evidence and candidate texts at distance up to 3 as near evidence."""
     r, rows = reviews(spark, sf), interim(spark, sf)
     _, sigs = native_signatures(spark, sf)
-    close = near.candidates(near.band_matches(sigs, NATIVE), NATIVE).where("distance <= 3")
+    close = near.candidates(sigs, NATIVE).where("distance <= 3")
     pairs = close.select("split", F.col("first_row").alias("first_id"), F.col("second_row").alias("second_id"), F.lit("high_confidence").alias("confidence"))
     return rows, {"exact": preprocess.exact_evidence(r, rows, SPEC), "high_confidence_near": preprocess.near_evidence(pairs, rows)}
 
@@ -373,7 +376,7 @@ PLAIN = (
     validate_issue_counts, validate_issue_samples, validate_status, validate_duplicate_rows, validate_duplicate_text, processed_contract, label_rollup,
     label_distribution, label_missing, mentioned_aspects, text_availability, length_percentiles, length_fences, threshold_counts, longest_documents, pattern_signals, conversation_lengths,
     exact_raw_summary, exact_norm_summary, exact_groups, exact_members, exact_label_conflicts,
-    near_signatures, near_band_matches, near_candidates, near_jaccard, near_pairs, near_clusters, near_summary,
+    near_signatures, near_band_matches, near_candidates, near_candidate_counts, near_jaccard, near_pairs, near_clusters, near_summary,
     interim_projection, review_ids, order_keys, group_components, group_ids, group_conflicts, group_policy_flags, group_summary, preprocess_audit, interim_table,
     split_assignment, hash_split, split_summary, split_labels, split_drift, group_leakage, text_leakage, split_contract_issues, missing_split_ids, split_check,
     median_sample, mixed_sentiment_samples, product_code_rows, product_code_samples, class_balance, length_histogram, label_chart, even_sample, table_metadata,

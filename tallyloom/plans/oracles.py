@@ -91,15 +91,15 @@ def percentiles() -> str:
 
 
 RE2 = dict(PATTERNS) | {"url": rf"(?i)\b(?:www\.|http(?:s|)://){NOT_WS}+", "digit_character": DIGIT}
-SIGNATURES = f"""n AS (SELECT source_split AS split, source_id AS row, {norm('text')} AS norm FROM r),
+SIGNATURES = f"""n AS (SELECT source_split AS split, {norm('text')} AS norm, min(source_id) AS row, count(*) AS n FROM r GROUP BY 1, 2),
 e AS (SELECT *, regexp_extract_all(norm, '{WORD}+') AS w FROM n),
 el AS (SELECT * FROM e WHERE length(norm) >= 30 AND len(w) >= 6),
-f AS (SELECT split, row, unnest(list_distinct(list_concat(w, [w[i] || '␟' || w[i + 1] for i in range(1, len(w))]))) AS f FROM el),
-h AS (SELECT split, row, ('0x' || substr(sha256(f), 1, 16))::UBIGINT AS v FROM f),
-b AS (SELECT split, row, k, 2 * sum((v >> (63 - k)) & 1) >= count(*) AS one FROM h, (SELECT unnest(range(64))::INT AS k) GROUP BY ALL),
-sg AS (SELECT split, row, sum(CASE WHEN one THEN (1::HUGEINT << (63 - k)) ELSE 0 END)::UBIGINT AS sig FROM b GROUP BY ALL),
-bd AS (SELECT split, row, sig, band, (sig >> (16 * band)) & 65535 AS key FROM sg, (SELECT unnest(range(4))::INT AS band)),
-m AS (SELECT a.split, a.row AS first_row, c.row AS second_row, bit_count(xor(a.sig, c.sig))::BIGINT AS distance
+f AS (SELECT split, row, n, unnest(list_distinct(list_concat(w, [w[i] || '␟' || w[i + 1] for i in range(1, len(w))]))) AS f FROM el),
+h AS (SELECT split, row, n, ('0x' || substr(sha256(f), 1, 16))::UBIGINT AS v FROM f),
+b AS (SELECT split, row, n, k, 2 * sum((v >> (63 - k)) & 1) >= count(*) AS one FROM h, (SELECT unnest(range(64))::INT AS k) GROUP BY ALL),
+sg AS (SELECT split, row, n, sum(CASE WHEN one THEN (1::HUGEINT << (63 - k)) ELSE 0 END)::UBIGINT AS sig FROM b GROUP BY ALL),
+bd AS (SELECT split, row, n, sig, band, (sig >> (16 * band)) & 65535 AS key FROM sg, (SELECT unnest(range(4))::INT AS band)),
+m AS (SELECT a.split, a.row AS first_row, c.row AS second_row, a.n AS n_1, c.n AS n_2, bit_count(xor(a.sig, c.sig))::BIGINT AS distance
       FROM bd a JOIN bd c ON a.split = c.split AND a.band = c.band AND a.key = c.key AND a.row < c.row),
 cd AS (SELECT DISTINCT * FROM m WHERE distance <= 16)"""
 INTERIM = f"""i AS (SELECT 'review_' || sha256('{{"dataset_name":"documents","dataset_revision":"r1","schema_version":"v1","source_id":"' || source_id || '","source_split":"' || source_split || '"}}') AS review_id,
@@ -180,12 +180,13 @@ ORACLES = {
     "exact_label_conflicts": f"WITH {R}, k AS (SELECT *, {norm('text')} AS g FROM r), q AS ("
     + union([f"SELECT source_split AS split, '{a}' AS aspect FROM k GROUP BY source_split, g HAVING {both(a)[0]}" for a in ASPECTS])
     + ") SELECT split, aspect, count(*) AS groups FROM q GROUP BY ALL",
-    "near_signatures": f"WITH {R}, {SIGNATURES} SELECT split, row AS row_no, CASE WHEN sig >= 9223372036854775808 THEN (sig::HUGEINT - 18446744073709551616)::BIGINT ELSE sig::BIGINT END AS sig FROM sg",
-    "near_band_matches": f"WITH {R}, {SIGNATURES} SELECT split, count(*) AS raw_matches, sum(distance)::BIGINT AS distance_sum FROM m GROUP BY 1",
-    "near_candidates": f"WITH {R}, {SIGNATURES} SELECT split, first_row, second_row, distance FROM cd",
+    "near_signatures": f"WITH {R}, {SIGNATURES} SELECT split, row AS row_no, n, CASE WHEN sig >= 9223372036854775808 THEN (sig::HUGEINT - 18446744073709551616)::BIGINT ELSE sig::BIGINT END AS sig FROM sg",
+    "near_band_matches": f"WITH {R}, {SIGNATURES}, z AS (SELECT split, sum(n)::BIGINT AS m FROM bd GROUP BY split, band, key) SELECT split, sum(m * (m - 1) // 2)::BIGINT AS raw_matches FROM z GROUP BY 1",
+    "near_candidates": f"WITH {R}, {SIGNATURES} SELECT split, first_row, second_row, n_1, n_2, distance FROM cd",
+    "near_candidate_counts": f"WITH {R}, {SIGNATURES}, z AS (SELECT split, n_1 * n_2 AS w FROM cd UNION ALL SELECT split, n * (n - 1) // 2 FROM sg) SELECT split, sum(w)::BIGINT AS candidate_pairs FROM z GROUP BY 1",
     "near_jaccard": f"""WITH {R}, {SIGNATURES}, tg AS (SELECT split, row, norm, list_distinct([substr(norm, j, 3) for j in range(1, length(norm) - 1)]) AS g FROM n),
       p AS (SELECT cd.split, first_row, second_row, least(length(a.norm), length(b.norm)) / greatest(length(a.norm), length(b.norm)) AS lr, len(list_intersect(a.g, b.g)) AS x, len(a.g) + len(b.g) AS y
-        FROM cd JOIN tg a ON a.split = cd.split AND a.row = first_row JOIN tg b ON b.split = cd.split AND b.row = second_row WHERE a.norm <> b.norm)
+        FROM cd JOIN tg a ON a.split = cd.split AND a.row = first_row JOIN tg b ON b.split = cd.split AND b.row = second_row)
       SELECT split, first_row, second_row, round(lr, 6) AS length_ratio, round(x / (y - x), 6) AS jaccard FROM p WHERE lr >= 0.65 AND x / (y - x) >= 0.60""",
     "interim_projection": f"WITH {R}, {INTERIM} SELECT review_id, source_split, source_id, sha256(text) AS text_sha256, {', '.join(ASPECTS)} FROM i",
     "review_ids": f"WITH {R}, {INTERIM} SELECT source_id, review_id FROM i",

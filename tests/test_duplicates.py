@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tallyloom.functions.text import duplicate_key
 from tallyloom.functions.similarity import LongestMatch, features, jaccard, sequence_ratio, simhash, trigrams
 from tallyloom.operators import exact, near
 from tallyloom.operators.graph import connected_components, union_find
@@ -52,7 +53,21 @@ def test_near_pairs_and_clusters(spark):
     assert len(c) == 1 and (c[0].member_count, c[0].edge_count, c[0].member_ids, c[0].conflicting) == (3, 2, "1|2|3", ["size"])
     s = got["summary"].first()
     assert (s.rows, s.eligible, s.excluded, s.verified_pairs, s.clusters, s.clustered_rows) == (5, 4, 1, 2, 1, 3)
-    assert got["candidates"].where("first_row = 0 AND second_row = 2").count() == 1  # equal texts count as candidates
+    assert got["candidates"].where("second_row = 1").count() == 1 and s.candidate_pairs >= 3  # the equal texts count too
+
+
+def test_pairs_of_copies_are_scored_in_row_order(spark):
+    texts = [BASE, LIKE, BASE, LIKE.upper(), OTHER, BASE.replace("ấm", "lạnh")]
+    got = near.analyze(frame(spark, [(i, t, *[0] * 5) for i, t in enumerate(texts)]), near=NearSpec(bands=64, band_bits=1, max_hamming=64))
+    norms, want = [duplicate_key(t) for t in texts], {}
+    for i, a in enumerate(norms):
+        for j in range(i + 1, len(norms)):
+            b = norms[j]
+            if a != b and min(len(a), len(b)) / max(len(a), len(b)) >= 0.65 and jaccard(trigrams(a), trigrams(b)) >= 0.6:
+                want[i, j] = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    assert {(r.first_row, r.second_row): r.sequence_ratio for r in got["pairs"].collect()} == want and len(want) == 8
+    s = got["summary"].first()
+    assert s.candidate_pairs == 15 and s.verified_pairs == 8 and s.clustered_rows == 5
 
 
 def test_cluster_scores(spark):
