@@ -86,7 +86,7 @@ def run_near_duplicates(a, df, spec):
     if a.sample:
         df = profile.even_sample(df, a.sample, spec.row)
     got = near.analyze(df, spec)
-    deliver(a, {k: got[k] for k in ("pairs", "clusters", "summary")})
+    deliver(a, {k: got[k] for k in ("pairs", "members", "clusters", "summary")})
 
 
 def run_eda(a, df, spec):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,50 @@ def group_id(sorted_members: Column) -> Column:
     return F.concat(F.lit("group_"), F.sha2(body, 256))
 
 
+def digests(rows: DataFrame, group: list[str], order: list[str], item: Callable[[str], str], head: str, joint: str, tail: str) -> DataFrame:
+    """(group columns, digest): SHA-256 of head, the group's last order column joined in order, tail.
+
+    The rows of a group are sorted, which may spill, and run through the hash one by one: no group is
+    ever gathered in memory, however large it is.
+    """
+    kinds, last = dict(rows.dtypes), order[-1]
+    own = rows.select(*group, *[c for c in order if c not in group])
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.repartition(n, *group).sortWithinPartitions(*group, *order)
+
+    def run(it):
+        at, h = None, None
+        for pdf in it:
+            out = []
+            for key, x in zip(zip(*[pdf[g] for g in group]), pdf[last]):
+                if key != at:
+                    if h is not None:
+                        h.update(tail.encode())
+                        out.append((*at, h.hexdigest()))
+                    at, h = key, hashlib.sha256(head.encode())
+                else:
+                    h.update(joint.encode())
+                h.update(item(str(x)).encode())
+            yield pd.DataFrame(out, columns=[*group, "digest"])
+        if h is not None:
+            h.update(tail.encode())
+            yield pd.DataFrame([(*at, h.hexdigest())], columns=[*group, "digest"])
+
+    return own.mapInPandas(run, ", ".join(f"{g} {kinds[g]}" for g in group) + ", digest string")
+
+
+def group_ids(members: DataFrame, root: str, review_id: str) -> DataFrame:
+    """(root, group_id), as group_id() gives it for the sorted members, without gathering them."""
+    quoted = lambda x: json.dumps(x, ensure_ascii=False)
+    out = digests(members, [root], [review_id], quoted, '{"member_review_ids":[', ",", f'],"schema_version":"{SCHEMA_VERSION}"}}')
+    return out.select(root, F.concat(F.lit("group_"), F.col("digest")).alias("group_id"))
+
+
+def cluster_ids(members: DataFrame, group: list[str], row: str, item: str) -> DataFrame:
+    """(group columns, cluster_id): hash of the |-joined ids in row order."""
+    return digests(members, group, [row, item], str, "", "|", "").withColumnRenamed("digest", "cluster_id")
+
+
 def duplicate_group_id(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
@@ -27,10 +76,6 @@ def pair_id(first_group: Column, second_group: Column) -> Column:
     return F.sha2(F.concat_ws(":", first_group, second_group), 256)
 
 
-def cluster_id(ids_in_row_order: Column) -> Column:
-    return F.sha2(F.concat_ws("|", ids_in_row_order), 256)
-
-
 def order_key(group: Column, seed: int) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(SCHEMA_VERSION), F.lit(str(seed)), group), 256)
 

@@ -15,19 +15,13 @@ def require_text(df: DataFrame, spec: TableSpec) -> None:
     require(df, {"null text": F.col(spec.text).isNull()})
 
 
-def consistency(columns: tuple[str, ...]) -> list[Column]:
-    """Aggregates: conflicting columns (several distinct labels) and mixed-missing ones (labels and nulls), as arrays."""
-    conflict = [F.when(F.count_distinct(F.col(a)) > 1, F.lit(a)) for a in columns]
-    mixed = [F.when((F.count(F.col(a)) > 0) & (F.count(F.col(a)) < F.count("*")), F.lit(a)) for a in columns]
-    return [F.array_compact(F.array(*conflict)).alias("conflicting"), F.array_compact(F.array(*mixed)).alias("mixed_missing")]
-
-
 def spread(columns: tuple[str, ...]) -> list[Column]:
-    """Partial aggregates from which consistency follows without distinct counts: minimum, maximum and non-null count."""
+    """Aggregates from which label consistency follows without distinct counts: minimum, maximum and non-null count."""
     return [x for a in columns for x in (F.min(a).alias(f"__lo_{a}"), F.max(a).alias(f"__hi_{a}"), F.count(a).alias(f"__n_{a}"))]
 
 
 def from_spread(columns: tuple[str, ...], n: Column) -> tuple[Column, Column]:
+    """(conflicting, mixed-missing) columns: several distinct labels; labels and nulls."""
     conflict = F.array_compact(F.array(*[F.when(F.col(f"__lo_{a}") < F.col(f"__hi_{a}"), F.lit(a)) for a in columns]))
     mixed = F.array_compact(F.array(*[F.when((F.col(f"__n_{a}") > 0) & (F.col(f"__n_{a}") < n), F.lit(a)) for a in columns]))
     return conflict, mixed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.identity import group_id, require_unique
+from tallyloom.functions.identity import group_id, group_ids, require_unique
 from tallyloom.operators.exact import from_spread, spread
 from tallyloom.operators.graph import connected_components, cut
 from tallyloom.operators.validate import non_integer, out_of_range, require
@@ -76,8 +76,8 @@ def assign_groups(df: DataFrame, evidence: dict[str, DataFrame], policy: str = "
     """df with group_id, group_size, evidence, conflict columns and flags, and the policy's verdict.
 
     evidence: edges (src, dst) of review ids by type, as star_edges() makes them. Every row gets a
-    group; group ids depend on the members alone, not on input order. Members are gathered per
-    component to be hashed; singletons skip that step.
+    group; group ids depend on the members alone, not on input order. Members are
+    streamed through the hash in order; singletons skip that step.
     """
     if not checked:
         check_rows(df, labels, review_id)
@@ -88,7 +88,7 @@ def assign_groups(df: DataFrame, evidence: dict[str, DataFrame], policy: str = "
     conflict, mixed = from_spread(cols, F.col("group_size"))
     facts = facts.select("root", "group_size", conflict.alias("group_conflicting_label_columns"), mixed.alias("group_mixed_missing_label_columns"))
     many = facts.where("group_size > 1").select("root")
-    ids = roots.join(many, "root", "left_semi").groupBy("root").agg(group_id(F.array_sort(F.collect_list(review_id))).alias("group_id"))
+    ids = group_ids(roots.join(many, "root", "left_semi"), "root", review_id)
     out = rows.join(facts, "root").join(ids, "root", "left").join(evidence_types(roots, evidence, review_id), "root", "left")
     out = out.withColumn("group_id", F.coalesce("group_id", group_id(F.array(F.col(review_id))))).withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
     has = F.size("group_conflicting_label_columns") > 0

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
-from tallyloom.functions.identity import cluster_id, duplicate_group_id, pair_id
+from tallyloom.functions.identity import cluster_ids, duplicate_group_id, pair_id
 from tallyloom.functions.similarity import blake2b_64, jaccard_of, sequence_ratio_of, signature_of
-from tallyloom.operators.exact import consistency
+from tallyloom.operators.exact import from_spread, spread
 from tallyloom.operators.graph import connected_components, cut
 from tallyloom.spec import NearSpec, TableSpec
 
@@ -134,14 +134,16 @@ def cluster_members(pairs: DataFrame) -> DataFrame:
 
 
 def clusters(pairs: DataFrame, prep: DataFrame, spec: TableSpec = TableSpec(), members: DataFrame | None = None) -> DataFrame:
-    """One row per cluster: id, members, edges, least scores, label consistency, first row."""
+    """One row per cluster: id, size, edges, least scores, label consistency, first row; its members are rows of cluster_members()."""
     members = cluster_members(pairs) if members is None else members
     high = pairs.where("confidence = 'high_confidence'")
     edges = high.join(members.withColumnRenamed("row", "first_row"), ["split", "first_row"]).groupBy("split", "root").agg(F.count("*").alias("edge_count"), F.min("jaccard").alias("min_jaccard"), F.min("sequence_ratio").alias("min_sequence_ratio"))
     rows = members.join(prep.select("split", "row", "id", *spec.labels.columns), ["split", "row"])
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("row", "id"))), lambda x: x["id"].cast("string"))
-    out = rows.groupBy("split", "root").agg(F.count("*").alias("member_count"), ids.alias("__ids"), *consistency(spec.labels.columns))
-    return out.join(edges, ["split", "root"]).select(cluster_id(F.col("__ids")).alias("cluster_id"), "split", F.col("root").alias("first_row"), "member_count", "edge_count", "min_jaccard", "min_sequence_ratio", "conflicting", "mixed_missing", F.concat_ws("|", "__ids").alias("member_ids"))
+    ids = cluster_ids(rows.withColumn("id", F.col("id").cast("string")), ["split", "root"], "row", "id")
+    cols = spec.labels.columns
+    out = rows.groupBy("split", "root").agg(F.count("*").alias("member_count"), *spread(cols)).join(ids, ["split", "root"])
+    conflict, mixed = from_spread(cols, F.col("member_count"))
+    return out.join(edges, ["split", "root"]).select("cluster_id", "split", F.col("root").alias("first_row"), "member_count", "edge_count", "min_jaccard", "min_sequence_ratio", conflict.alias("conflicting"), mixed.alias("mixed_missing"))
 
 
 def ordered_clusters(found: DataFrame) -> DataFrame:
@@ -158,8 +160,9 @@ def analyze(df: DataFrame, spec: TableSpec = TableSpec(), near: NearSpec = NearS
     sigs = cut(signatures(texts, digest))
     found = cut(candidates(sigs, near))
     pairs = cut(verify(cut(verified_texts(found, texts, near)), prep, spec, near))
-    groups = cut(clusters(pairs, prep, spec))
-    return {"prepared": prep, "texts": texts, "signatures": sigs, "candidates": found, "pairs": pairs, "clusters": groups, "summary": summary(prep, sigs, found, pairs, groups, near)}
+    members = cut(cluster_members(pairs))
+    groups = cut(clusters(pairs, prep, spec, members))
+    return {"prepared": prep, "texts": texts, "signatures": sigs, "candidates": found, "pairs": pairs, "members": members, "clusters": groups, "summary": summary(prep, sigs, found, pairs, groups, near)}
 
 
 def candidate_counts(sigs: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import difflib
+import hashlib
 import random
 
 import pytest
@@ -50,7 +51,7 @@ def test_near_pairs_and_clusters(spark):
     assert {(r.first_id, r.second_id) for r in pairs} == {(1, 2), (2, 3)}  # the equal pair and the unrelated one are out
     assert all(r.conflicting == ["size"] and r.confidence == "high_confidence" for r in pairs)
     c = got["clusters"].collect()
-    assert len(c) == 1 and (c[0].member_count, c[0].edge_count, c[0].member_ids, c[0].conflicting) == (3, 2, "1|2|3", ["size"])
+    assert len(c) == 1 and (c[0].member_count, c[0].edge_count, c[0].cluster_id, c[0].conflicting) == (3, 2, hashlib.sha256(b"1|2|3").hexdigest(), ["size"])
     s = got["summary"].first()
     assert (s.rows, s.eligible, s.excluded, s.verified_pairs, s.clusters, s.clustered_rows) == (5, 4, 1, 2, 1, 3)
     assert got["candidates"].where("second_row = 1").count() == 1 and s.candidate_pairs >= 3  # the equal texts count too
