@@ -21,8 +21,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def doc_hash(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    """Of the id; of the text where there is none, so that rows without ids don't share a hash."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -67,18 +68,18 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
     Size is the number of words. Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ... and share the sum of all
     sizes; a target stops at three times its source's size and the excess goes to the others by weight.
-    Null or empty text has size 0 and takes 0; a null source is a source of its own; a null id hashes
-    as the empty text. Rows with one id share a hash: they are taken together or not at all. Columns
+    Null or empty text has size 0 and takes 0; a null source is a source of its own; a row without an id is
+    hashed by its text. Rows with one id share a hash: they are taken together or not at all. Columns
     of docs keep their values; one named like a result column is replaced by it. An empty table gives
     an empty table. Equal input gives an equal mix.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
-    sizes = cut(docs.select(F.col(source).alias("source"), key.alias("__key"), doc_hash(F.col(doc_id)).alias("__h"), n_words(F.col(text)).alias("__size")))
+    sizes = cut(docs.select(F.col(source).alias("source"), key.alias("__key"), doc_hash(F.col(doc_id), F.col(text)).alias("__h"), n_words(F.col(text)).alias("__size")))
     table = cut(thresholds(sizes, source_targets(sizes)))
     table = table.select("__key", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__whole", "__edge")
     if table.count() <= DRIVER_SOURCES:
         table = F.broadcast(table)  # a row of some 50 bytes per source, counted above
-    out = docs.withColumns({"__key": key, "__h": doc_hash(F.col(doc_id)), "__size": n_words(F.col(text))}).join(table, "__key", "left")
+    out = docs.withColumns({"__key": key, "__h": doc_hash(F.col(doc_id), F.col(text)), "__size": n_words(F.col(text))}).join(table, "__key", "left")
     times = F.col("__whole") + F.when(F.col("__h") < F.col("__edge"), 1).otherwise(0)
     out = out.withColumns({"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": F.col("__size") * times})
     return out.drop("__key", "__h", "__size", "__source_size", "__target", "__whole", "__edge")
@@ -92,7 +93,7 @@ def copies(mixed: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s0 AS (SELECT source, SUM(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) AS no FROM s0),
