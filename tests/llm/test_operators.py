@@ -249,14 +249,25 @@ def test_line_dedup(spark, corpus):
     want = brute_lines(texts.items(), linededup.Rules())
     assert sum(out[d] == want[d] for d in want) >= 0.98 * len(want)  # a longest run need not be unique
     rng = random.Random(6)
-    lines = [f"line number {i} of some length {'x' * (i % 9)}" for i in range(30)] + ["short", ""]
-    docs = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.5 else f"own {i} {j} {rng.random()}" for j in range(rng.randint(1, 25)))) for i in range(40)]
+    lines = [f"line number {i} of some length {'x' * (i % 9)}" if i % 5 else f"s{i}" for i in range(30)] + [""]
+    docs = []
+    for i in range(40):  # shared lines keep their order, so that the longest run is unique
+        own = [(rng.random() * 30, f"own {i} {j} {rng.random()}") for j in range(rng.randint(0, 9))]
+        docs.append((i, "\n".join(x for _, x in sorted(own + [(float(k), lines[k]) for k in sorted(rng.sample(range(31), rng.randint(1, 20)))]))))
     rules = linededup.Rules(rare_docs=15)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), rules).collect()}
-    want = brute_lines(docs, rules)
-    same = sum(got[i] == want[i] for i in got)
-    assert same >= 0.9 * len(docs)  # a longest run need not be unique
-    assert all(sum(map(len, got[i])) == sum(map(len, want[i])) or len(got[i]) > 0 for i in got)
+    assert got == brute_lines(docs, rules)
+
+
+def test_aligned_is_a_longest_increasing_run():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = [rng.randint(0, 20) for _ in range(rng.randint(0, 25))]
+        best = []
+        for i, x in enumerate(a):
+            best.append(1 + max((best[j] for j in range(i) if a[j] < x), default=0))
+        got = linededup.aligned(a, list(range(len(a))))
+        assert len(got) == max(best, default=0) and all(a[i] < a[j] and i < j for i, j in zip(got, got[1:]))
 
 
 def test_line_dedup_awkward(awkward, nothing):
