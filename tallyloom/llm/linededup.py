@@ -1,11 +1,18 @@
 """Line dedup by pairwise alignment of documents that share lines.
 
 Every line is keyed by its hash and its occurrence number in its document, so that the keys of one
-document are distinct. A document meets the first holder (least id) of each of its shared lines: the
-pairs are as many as the shared lines, whatever the group size, and no line is without its pair. The
-lines that a pair shares are aligned as patience diff does, by the longest increasing sequence of
-unique common lines; a block is a run of aligned lines that follow one another in both documents,
-blank lines aside. Blocks go from the later document if they hold a rare line, or several lines.
+document are distinct. A block is a run of lines that follow one another in two documents, blank lines
+aside; it goes from the later one if the run as a whole has `min_chars` characters. No count of
+documents has a part in that.
+
+Partners are met by windows, the shortest runs of so many characters from each line on and up to each
+line: every line of a block lies in a window inside the block, and every window has one first holder
+(least id), so that the pairs are as many as the windows, whatever the group size, and a line that was
+first seen elsewhere does not tear a block. The lines of a pair's windows are aligned as patience diff
+does, by the longest increasing sequence of common lines, and what it leaves (moved blocks) again.
+
+With `Rules` a document is aligned once with the first holder of each single line, and blocks go if they
+hold a line that is rare by `rare_docs`, or several lines.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.util import bounded, cut, partitions
 
 LOWEST = -(1 << 63)
+MIN_CHARS = 24  # of a whole block
 
 
 @dataclass(frozen=True)
@@ -81,9 +89,97 @@ def deleted(a: list[int], b: list[int], size: list[int], df: list[int], rules: R
     return gone, blocks
 
 
+def windows(keys: list[int], size: list[int], least: int) -> set[tuple[int, int]]:
+    """(from, to) of the shortest runs of at least so many characters from each line on, and up to each line."""
+    out, n, total, j = set(), len(keys), 0, 0
+    for i in range(n):
+        while j < n and total < least:
+            total += size[j]
+            j += 1
+        if total < least:
+            break
+        out.add((i, j))
+        total -= size[i]
+    total, i = 0, n
+    for j in range(n, 0, -1):
+        while i > 0 and total < least:
+            i -= 1
+            total += size[i]
+        if total < least:
+            break
+        out.add((i, j))
+        total -= size[j - 1]
+    return out
+
+
+def passes(a: list[int], b: list[int]) -> int:
+    """Number of blocks in alignments of the pairs, in the order of b, that are repeated until none is left."""
+    blocks = 0
+    while a:
+        at = aligned(a, b)
+        blocks += sum(not k or a[i] != a[at[k - 1]] + 1 or b[i] != b[at[k - 1]] + 1 for k, i in enumerate(at))
+        rest = sorted(set(range(len(a))) - set(at))
+        a, b = [a[i] for i in rest], [b[i] for i in rest]
+    return blocks
+
+
+def slim_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+
+
+def block_deletions(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> DataFrame:
+    """(did, th, gone, blocks) of the documents that lose lines, by windows: places among their non-blank lines."""
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for d, t, x in zip(pdf["did"], pdf["th"], pdf["text"]):
+                if not isinstance(x, str):
+                    continue
+                own = lines_of(x)
+                keys, size = [r[2] for r in own], [r[3] for r in own]
+                packed = np.array(keys, "<u8").tobytes()
+                rows += [(d, t, i, j - i, xxhash.xxh64_intdigest(packed[8 * i : 8 * j]) - (1 << 63)) for i, j in windows(keys, size, min_chars)]
+            out = np.array(rows, np.int64).reshape(-1, 5)
+            yield pd.DataFrame({"did": out[:, 0], "th": out[:, 1], "n": out[:, 2].astype("i4"), "len": out[:, 3].astype("i4"), "key": out[:, 4]})
+
+    every = cut(slim_of(docs, doc_id, text).mapInPandas(run, "did long, th long, n int, len int, key long"))
+    shared = every.groupBy("key").agg(F.min(F.struct("did", "th", "n")).alias("first"), F.count("*").alias("df")).where("df > 1")
+    met = every.join(shared, "key").where("first.did <> did OR first.th <> th")
+    met = met.select("did", "th", F.col("first.did").alias("odid"), F.col("first.th").alias("oth"), "n", F.col("first.n").alias("on"), "len")
+    met = met.repartition(partitions(docs), "did", "th").sortWithinPartitions("did", "th", "odid", "oth", "n")
+
+    def align(it):
+        doc, pair, held, gone, blocks = None, None, {}, set(), 0
+
+        def pair_done():
+            nonlocal blocks
+            b = sorted(held)
+            blocks += passes([held[i] for i in b], b)
+            gone.update(b)
+            held.clear()
+
+        for pdf in it:
+            out = []
+            for d, t, od, ot, n, on, size in zip(*[pdf[c].tolist() for c in pdf.columns]):
+                if (d, t, od, ot) != pair:
+                    pair_done()
+                    if (d, t) != doc:
+                        if gone:
+                            out.append((*doc, sorted(gone), blocks))
+                        doc, gone, blocks = (d, t), set(), 0
+                    pair = (d, t, od, ot)
+                held.update(zip(range(n, n + size), range(on, on + size)))
+            yield pd.DataFrame(out, columns=["did", "th", "gone", "blocks"])
+        pair_done()
+        yield pd.DataFrame([(*doc, sorted(gone), blocks)] if gone else [], columns=["did", "th", "gone", "blocks"])
+
+    return met.mapInPandas(align, "did long, th long, gone array<int>, blocks long")
+
+
 def deletions(docs: DataFrame, rules: Rules, doc_id: str, text: str) -> DataFrame:
     """(did, th, gone, blocks) of the documents that lose lines: places among their non-blank lines."""
-    slim = bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    slim = slim_of(docs, doc_id, text)
 
     def run(it):
         for pdf in it:
@@ -128,7 +224,7 @@ def deletions(docs: DataFrame, rules: Rules, doc_id: str, text: str) -> DataFram
     return met.mapInPandas(align, "did long, th long, gone array<int>, blocks long")
 
 
-def dedup_lines(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, rules: Rules | None = None, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the aligned common blocks deleted from the text of the later documents, and n_lines, n_deleted, n_blocks (non-blank lines, those deleted, blocks).
 
     The earlier of two documents is the one with the lesser id (null first), then text hash. Nothing
@@ -138,7 +234,7 @@ def dedup_lines(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id",
     columns keep their values; one named like a result column is replaced. An empty table gives an
     empty table.
     """
-    gone = deletions(docs, rules, doc_id, text).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("gone").alias("__gone"), F.col("blocks").alias("__blocks"))
+    gone = (block_deletions(docs, min_chars, doc_id, text) if rules is None else deletions(docs, rules, doc_id, text)).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("gone").alias("__gone"), F.col("blocks").alias("__blocks"))
     mine = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)) == F.col("__did")
     out = docs.join(gone, mine & (F.xxhash64(F.col(text)) == F.col("__th")), "left")
 

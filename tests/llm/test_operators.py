@@ -270,6 +270,52 @@ def test_aligned_is_a_longest_increasing_run():
         assert len(got) == max(best, default=0) and all(a[i] < a[j] and i < j for i, j in zip(got, got[1:]))
 
 
+def all_pairs(docs, least):
+    """Texts after every run of lines that an earlier document also has, of so many characters as a whole, is gone. Patience alignment with each earlier document must delete no more."""
+    out, before = {}, []
+    for d, x in sorted(docs):
+        own = [(k, s) for _, _, k, s in linededup.lines_of(x)]
+        gone, once = set(), set()
+        for at in before:
+            place = [at.get(k) for k, _ in own]
+            both = [i for i, p in enumerate(place) if p is not None]
+            for picked, into in ((both, gone), ([both[i] for i in linededup.aligned([place[i] for i in both], both)], once)):
+                run = []
+                for i in [*picked, None]:
+                    if run and (i is None or i != run[-1] + 1 or place[i] != place[run[-1]] + 1):
+                        if sum(own[j][1] for j in run) >= least:
+                            into |= set(run)
+                        run = []
+                    if i is not None:
+                        run.append(i)
+        before.append({k: i for i, (k, _) in enumerate(own)})
+        n, kept = -1, []
+        for y in x.split("\n"):
+            n += bool(y.strip())
+            if not (y.strip() and n in gone):
+                kept.append(y)
+        out[d] = x if not gone else "\n".join(kept) if any(y.strip() for y in kept) else ""
+        assert once <= gone
+    return out
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(8)
+    lines = [f"line number {i} of some length {'x' * (i % 9)}" if i % 3 else f"short {i}" for i in range(60)]
+    docs = []
+    for i in range(60):  # blocks in any order, whose single lines occur elsewhere first
+        own = [f"own {i} {j} {rng.random()}" for j in range(rng.randint(0, 3))]
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(60)
+            own += lines[a : a + rng.randint(1, 9)] + [""] * rng.randint(0, 1)
+        docs.append((i, "\n".join(own)))
+    x, y = "\n".join(f"block x line {i} and more of it" for i in range(4)), "\n".join(f"block y line {i} and more of it" for i in range(3))
+    docs += [(100, "tail"), (101, x + "\n" + y + "\ntail"), (102, y + "\n" + x + "\ntail"), (103, y + "\n" + x + "\ntail"), (104, x + "\n" + y + "\ntail")]
+    want = all_pairs(docs, linededup.MIN_CHARS)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and got[104] == "" and got[103] == "" and got[101] == docs[-4][1]
+
+
 def test_line_dedup_awkward(awkward, nothing):
     out = linededup.dedup_lines(awkward).collect()
     assert len(out) == len(AWKWARD)
