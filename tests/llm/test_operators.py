@@ -316,6 +316,14 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == want and got[104] == "" and got[103] == "" and got[101] == docs[-4][1]
 
 
+def test_line_dedup_verdict_does_not_depend_on_the_table(spark):
+    """A line in more than a thousand documents goes like one in two."""
+    line = "a passage of one line that stands in very many documents"
+    docs = [(i, f"{line}\nown {i}") for i in range(1100)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == docs[0][1] and all(got[i] == f"own {i}" for i in range(1, 1100))
+
+
 def test_line_dedup_awkward(awkward, nothing):
     out = linededup.dedup_lines(awkward).collect()
     assert len(out) == len(AWKWARD)
