@@ -1,4 +1,7 @@
-"""Compression bands: zstandard ratios of the whole text and of its fixed chunks, with limits by length."""
+"""Compression bands: zstandard ratios of the whole text and of its fixed chunks, with limits by length.
+
+Every byte of every text lies in a chunk. A text shorter than a chunk is one chunk, with the limits of its length.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ class Bands:
     whole: tuple = ((128, 0.45, 2.0), (256, 0.40, 1.20), (512, 0.38, 0.92), (1024, 0.34, 0.80), (2048, 0.32, 0.72), (4096, 0.30, 0.68), (16384, 0.27, 0.62), (1 << 62, 0.24, 0.60))
     chunk: tuple = (0.28, 0.75)
     chunk_bytes: int = 2048
-    bad_share: float = 0.34  # of the chunks, beyond which the text is rejected
+    bad_share: float = 0.34  # of the bytes, by chunks, beyond which the text is rejected
     level: int = 3
 
     def verdict(self, raw: bytes, z: zstandard.ZstdCompressor) -> tuple[float, int, int, int, bool]:
@@ -31,9 +34,16 @@ class Bands:
         ratio = len(z.compress(raw)) / n if n else 0.0
         least, most = next((lo, hi) for top, lo, hi in self.whole if n < top)
         size = self.chunk_bytes
-        parts = [len(z.compress(raw[i : i + size])) / size for i in range(0, n - size + 1, size)] if n >= 2 * size else []
-        low, high = sum(r < self.chunk[0] for r in parts), sum(r > self.chunk[1] for r in parts)
-        return ratio, len(parts), low, high, bool(n and least <= ratio <= most and low + high <= self.bad_share * len(parts))
+        if n < size:  # one chunk, with the limits of its length
+            low, high = int(0 < n and ratio < least), int(ratio > most)
+            return ratio, int(n > 0), low, high, bool(n and not low + high)
+        spans = [(i, size) for i in range(0, n - size + 1, size)]
+        if n % size:  # the last chunk is a full one up to the end, and weighs what it adds
+            spans.append((n - size, n % size))
+        parts = [(len(z.compress(raw[i : i + size])) / size, new) for i, new in spans]
+        low, high = (sum(test(r) for r, _ in parts) for test in (lambda r: r < self.chunk[0], lambda r: r > self.chunk[1]))
+        bad = sum(new for r, new in parts if not self.chunk[0] <= r <= self.chunk[1])
+        return ratio, len(parts), low, high, least <= ratio <= most and bad <= self.bad_share * n
 
 
 SYMBOLS = np.zeros(256, bool)

@@ -148,6 +148,19 @@ def test_bands(spark, awkward, nothing):
     assert quality.judge(nothing).count() == 0
 
 
+def test_bands_test_every_byte(spark):
+    """Noise in the second half of a text of under two chunks, and in a last partial chunk."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    prose = " ".join(rng.choice(vocabulary) if rng.random() < 0.6 else "the" for _ in range(2000))
+    code = " ".join(base64.b64encode(rng.randbytes(75)).decode() for _ in range(60))
+    cases = {0: prose[:2000] + code[:2000], 1: prose[:2048] + code[:2000], 2: prose[:2000] + code[:2100], 3: prose[:4000], 4: prose[:1500], 5: prose[:2100], 6: prose[:6200]}
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    assert {d: got[d].n_chunks for d in cases} == {0: 2, 1: 2, 2: 3, 3: 2, 4: 1, 5: 2, 6: 4}
+    assert all(not got[d].kept and not got[d].base_failed and got[d].high_chunks for d in (0, 1, 2))
+    assert all(0.30 <= got[d].whole_ratio <= 0.68 for d in (0, 1)) and all(got[d].kept for d in (3, 4, 5, 6))
+
+
 # repeats
 
 
