@@ -128,12 +128,74 @@ def search(ids: np.ndarray, f: np.ndarray, radius: int, seen_before) -> pd.DataF
     for i, j in close_pairs(f, radius):
         label = hook(label, i, j)
         hit[i] = hit[j] = True
-        new = ~seen_before(f[i], f[j])
+        new = ~seen_before(i, j)
         links += np.bincount(i[new], minlength=len(ids)) + np.bincount(j[new], minlength=len(ids))
     k = np.flatnonzero(hit)
     return pd.DataFrame({"id": ids[k], "root": ids[label[k]], "links": links[k]})
 
 
+def inner_list(outer: np.ndarray, bits: np.ndarray, depth: int, s: int) -> np.ndarray:
+    """The list at this depth, by inner repetition s, of each member of an outer list."""
+    own = lists(bits, (77, depth, s), 2) + np.uint64(s << 8)
+    return mix(outer ^ mix(own + np.uint64(depth << 32)))
+
+
+def path_of(rep: int) -> tuple[int, ...]:
+    """(repetition, inner repetition at depth 1, 2, ...) from 16 bits and then 12 bits each, which hold one more than the number."""
+    rep &= (1 << 64) - 1
+    out, rep = [rep & 0xFFFF], rep >> 16
+    while rep:
+        out.append((rep & 0xFFF) - 1)
+        rep >>= 12
+    return tuple(out)
+
+
+def met_before(f: np.ndarray, path: tuple[int, ...], levels: int, inner: list[int], hot: list[np.ndarray]):
+    """A function of index arrays (i, j): whether these members of a list meet in a list of an earlier path, too.
+
+    Lists in hot[d] are recursed into with inner[d] repetitions, so that sharing one is not meeting; in any other list a pair meets.
+    """
+    bits, held = bits_of(f), {}
+
+    def key(at):
+        if at not in held:
+            if len(held) >= 96:
+                held.clear()
+            held[at] = mix(lists(bits, at, levels) + np.uint64(at[0] << 48)) if len(at) == 1 else inner_list(key(at[:-1]), bits, len(at) - 1, at[-1])
+        return held[at]
+
+    def earlier(base, upto, i, j):
+        out = np.zeros(len(i), bool)
+        for s in range(upto):
+            left = np.flatnonzero(~out)
+            if not len(left):
+                break
+            k = key((*base, s))
+            left = left[k[i[left]] == k[j[left]]]
+            if len(left):
+                out[left] = below((*base, s), i[left], j[left])
+        return out
+
+    def below(at, i, j):
+        d = len(at) - 1
+        if d >= len(hot):
+            return np.ones(len(i), bool)
+        out = ~np.isin(key(at)[i], hot[d])
+        left = np.flatnonzero(~out)
+        if len(left):
+            out[left] = earlier(at, inner[d], i[left], j[left])
+        return out
+
+    def met(i, j):
+        out = np.zeros(len(i), bool)
+        for d, upto in enumerate(path):
+            left = np.flatnonzero(~out)
+            out[left] = earlier(path[:d], upto, i[left], j[left])
+        return out
+
+    return met
+
+
 def links_of(prints: DataFrame, radius: int, recall: float, list_size: int, list_most: int) -> DataFrame:
     """Rows (id, root, links) over rows (id, f0..f3) of distinct fingerprints."""
     n, width = prints.count(), partitions(prints)
@@ -150,41 +212,36 @@ def links_of(prints: DataFrame, radius: int, recall: float, list_size: int, list
                 key = mix(lists(bits, (r,), levels) + np.uint64(r << 48)).view(np.int64)
                 yield pdf.assign(list=key, rep=r)
 
-    rows = prints.mapInPandas(spread, f"id long, {flat}, list long, rep int")
-    depth, sub_reps = 0, repetitions(2, radius, recall)
-    while n > list_most and depth < 4:
+    rows = prints.mapInPandas(spread, f"id long, {flat}, list long, rep long")
+    inner: list[int] = []  # repetitions by depth: the misses of all depths add up to those of the recall
+    split: list[np.ndarray] = []  # the lists that are recursed into, by depth; each has over list_most rows
+    while n > list_most and len(split) < 4:
         hot = cut(rows.groupBy("list").count().where(F.col("count") > list_most).select("list"))
-        if hot.isEmpty():
+        found = np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)
+        if not len(found):
             break
-        depth += 1
+        split.append(np.sort(found))
+        depth = len(split)
+        inner.append(repetitions(2, radius, 1 - (1 - recall) / 2**depth))
 
-        def deeper(it, depth=depth):
+        def deeper(it, depth=depth, count=inner[-1]):
             for pdf in it:
-                bits = bits_of(table(pdf))
-                for s in range(sub_reps):
-                    own = lists(bits, (77, depth, s), 2) + np.uint64(s << 8)
-                    yield pdf.assign(list=mix(pdf["list"].to_numpy(np.int64).view(np.uint64) ^ mix(own + np.uint64(depth << 32))).view(np.int64))
+                bits, outer, rep = bits_of(table(pdf)), pdf["list"].to_numpy(np.int64).view(np.uint64), pdf["rep"].to_numpy(np.int64)
+                for s in range(count):
+                    path = rep | np.array((s + 1) << (4 + 12 * depth), np.uint64).view(np.int64)
+                    yield pdf.assign(list=inner_list(outer, bits, depth, s).view(np.int64), rep=path)
 
-        again = rows.join(hot, "list", "left_semi").select("id", *cols, "list", "rep").mapInPandas(deeper, f"id long, {flat}, list long, rep int")
+        again = rows.join(hot, "list", "left_semi").select("id", *cols, "list", "rep").mapInPandas(deeper, f"id long, {flat}, list long, rep long")
         rows = cut(rows.join(hot, "list", "left_anti").select("id", *cols, "list", "rep").union(again))
+    known = prints.sparkSession.sparkContext.broadcast(split)
 
     def brute(it):
         held: list[pd.DataFrame] = []
 
         def done():
             g = pd.concat(held, ignore_index=True)
-            r = int(g["rep"].iloc[0])
-
-            def seen_before(a, b):
-                out = np.zeros(len(a), bool)
-                for k in range(r if levels else 0):
-                    if out.all():
-                        break
-                    left = np.flatnonzero(~out)
-                    out[left] = lists(bits_of(a[left]), (k,), levels) == lists(bits_of(b[left]), (k,), levels)
-                return out
-
-            return search(g["id"].to_numpy(np.int64), table(g), radius, seen_before)
+            f = table(g)
+            return search(g["id"].to_numpy(np.int64), f, radius, met_before(f, path_of(int(g["rep"].iloc[0])), levels, inner, known.value))
 
         for pdf in it:
             key = pdf["list"].to_numpy()

@@ -557,6 +557,26 @@ def test_near_copies_by_recursion(spark, list_size, list_most):
         assert 0.9 * 2 * len(links) <= sum(r.n_links for r in got.values()) <= 2 * len(links)
 
 
+@pytest.mark.parametrize("list_size,list_most", [(1_000_000, 40), (100, 40)])
+def test_links_are_counted_once_in_lists_recursed_into(spark, list_size, list_most):
+    """Every pair counts once, whichever outer and inner lists it meets in."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    docs = []
+    for i in range(40):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        for k in range(4):
+            x = base[:]
+            for _ in range(k):
+                x[rng.randrange(150)] = rng.choice(vocabulary)
+            docs.append((4 * i + k, " ".join(x)))
+    links = brute_links([x for _, x in docs], nearcopies.RADIUS)
+    want = collections.Counter(k for pair in links for k in pair)
+    got = {r.doc_id: r.n_links for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), list_size=list_size, list_most=list_most).collect()}
+    assert len(links) > 200 and all(got[d] <= want[d] for d in got)
+    assert sum(got.values()) >= 0.98 * 2 * len(links)
+
+
 def test_meeting_odds():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2, (400, 256), dtype=np.uint8)
