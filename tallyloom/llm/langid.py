@@ -3,7 +3,8 @@
 A text is the TF-IDF vector of its hashed byte 1- to 3-grams (letters lower-cased, everything else a
 blank), scaled to length one. Each language has several centroids, found by spherical k-means on a
 bounded sample of labelled texts; a text gets the language of the centroid nearest by cosine, and is
-rejected if that cosine lies far below what sample texts of its length reach.
+rejected if that cosine lies far below what sample texts of its length reach against centroids that
+they had no part in: a low quantile of those that got their own language, so that no outlier sets it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.util import bounded, crc_of_id, encoded, slices
 
-DIMS, PER_LANGUAGE, CENTROIDS, SLACK = 4096, 400, 4, 0.4
+DIMS, PER_LANGUAGE, CENTROIDS, SLACK = 4096, 400, 4, 0.7
+FOLDS, QUANTILE = 4, 0.02
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[:128] = [i if 97 <= i <= 122 else 32 for i in range(128)]
 
@@ -67,6 +69,21 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c
 
 
+def left_out(x: np.ndarray, lang: np.ndarray, good: np.ndarray, centroids: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cosine of the nearest centroid, whether that is of the text's language) by folds, each against centroids of the others; a fold without which a language has no text left is measured against all."""
+    best, right = np.zeros(len(x)), np.zeros(len(x), bool)
+    fold = np.arange(len(x)) % FOLDS
+    for f in range(FOLDS):
+        rest = good & (fold != f)
+        if len(np.unique(lang[rest])) < len(np.unique(lang)):
+            rest = good
+        parts = [spherical_kmeans(x[rest & (lang == i)], centroids) for i in range(lang.max() + 1)]
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        sim = x[fold == f] @ np.concatenate(parts).T
+        best[fold == f], right[fold == f] = sim.max(1), owner[sim.argmax(1)] == lang[fold == f]
+    return best, right & good
+
+
 def fit_texts(texts: list[str], langs: list[str], centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
     raw = lowered(texts)
     tf = np.concatenate([vectors(raw[a:b]) for a, b in slices(raw, rows=256)]) if raw else np.zeros((0, DIMS), np.float32)
@@ -84,10 +101,10 @@ def fit_texts(texts: list[str], langs: list[str], centroids: int = CENTROIDS, sl
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     floor = np.full(40, 1.0)
     if len(x):
-        best, size = (x @ c.T).max(1), np.array([len(r) for r in raw])
+        (best, right), size = left_out(x, lang, good, centroids), np.array([len(r) for r in raw])
         for i in range(40):
-            own = best[np.log2(size + 1).astype(int) == i]
-            floor[i] = own.min() if len(own) else 1.0
+            own = best[right & (np.log2(size + 1).astype(int) == i)]
+            floor[i] = np.quantile(own, QUANTILE) if len(own) else 1.0
         floor = np.minimum.accumulate(floor[::-1])[::-1]  # a longer text never needs less
         floor[floor == 1.0] = floor[floor < 1.0].max(initial=0.0)
     return Model(names, idf, c.astype(np.float32), owner, slack * floor)

@@ -509,6 +509,21 @@ def test_language_id(spark, corpus, awkward, nothing):
     assert {r.lang_pred for r in langid.identify(awkward, empty).collect()} == {"und"}
 
 
+def test_language_id_rejects_what_was_not_learnt(spark):
+    """Random letters, base64 and Latin-script languages without samples, at many lengths; clean held-out texts stay."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(big.where(~langid.held_out(F.col("doc_id"))))
+    rng = random.Random(1)
+    fi = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    vi = "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu. "
+    far = []
+    for n in (162, 300, 1400, 4000, 14000):
+        far += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)), base64.b64encode(rng.randbytes(n * 3 // 4)).decode(), (fi * 100)[:n], (vi * 100)[:n]]
+    assert langid.predict_texts(model, far)[2].all()
+    clean = [r.text for r in big.where(langid.held_out(F.col("doc_id"))).collect() if r.text]
+    assert langid.predict_texts(model, clean)[2].mean() < 0.02
+
+
 # near copies
 
 
