@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.util import bounded
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|textarea|noscript|iframe|svg|math|select)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S | re.I)
-BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup header footer nav aside form fieldset dialog menu center hr".split())
-DROPPED = frozenset("nav footer aside form dialog menu button input select option label fieldset title head object embed canvas audio video".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|textarea|iframe|select|annotation|annotation-xml)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S | re.I)
+BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup header footer nav aside form fieldset dialog menu center hr noscript".split())
+DROPPED = frozenset("nav footer aside dialog menu button input select option label fieldset title head object embed canvas audio video".split())
 VOID = frozenset("br hr img input meta link wbr area base col embed source track param".split())
 ENDS_P = BLOCKS - {"html", "body"}
 PHRASE_DROPPED = frozenset("button label option".split())
@@ -30,15 +30,16 @@ NAMED = re.compile(
     re.I,
 )
 ATTRS = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar".split())
 INNER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "kids")
+    __slots__ = ("tag", "parent", "items", "drop", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total", "kids")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
         self.tag, self.parent, self.drop = tag, parent, drop
+        self.doubtful = False  # boilerplate by its name or as a form, unless it holds the page's main mass
         self.items: list = []  # text pieces and nodes, in page order
         self.kids: list[Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -46,14 +47,13 @@ class Node:
 
 
 def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
+    """Whether the element goes whatever it holds: by its tag or role, or because it isn't shown."""
+    if tag in DROPPED or (tag in ("header", "noscript") and not in_article):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for name, value in ATTRS.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NAMED.search(value):
-            return True
         if name == "role" and value.lower() in ROLES or name == "hidden":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -61,6 +61,42 @@ def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def doubtful(tag: str, attrs: str) -> bool:
+    """Whether the element is named like boilerplate, or is a form or search: so may be a wrapper around the page."""
+    if tag == "form":
+        return True
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    return any(n.lower() in ("class", "id") and NAMED.search(v.strip("\"'")) or n.lower() == "role" and v.strip("\"'").lower() in ("search", "form") for n, v in ATTRS.findall(attrs))
+
+
+def settle(root: Node) -> None:
+    """Drops the doubtful elements that don't hold the main mass: the largest article or main, or over half of the text outside links of that (of the page, if there is none)."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if not x.drop:
+            order.append(x)
+            stack.extend(reversed(x.kids))
+    if not any(x.doubtful for x in order):
+        return
+    mass = {x: x.chars - x.link_chars for x in order}
+    for x in reversed(order):
+        if x.parent is not None:
+            mass[x.parent] += mass[x]
+    base = max((x for x in order if x.tag in ("article", "main")), key=mass.get, default=root)
+    around, x = set(), base
+    while x is not None:
+        around.add(x)
+        x = x.parent
+    inside = set()
+    for x in order:
+        if x is base or x.parent in inside:
+            inside.add(x)
+        if x.doubtful and x not in around:
+            x.drop = not (x in inside and 2 * mass[x] > mass[base])
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; scripts, styles and comments are gone, other inline elements count as tags only."""
     root = Node("body", None, False)
@@ -128,6 +164,7 @@ def parse(page: str) -> Node:
                 at.items.append(Node("hr", at, at.drop))
                 continue
             node = Node(tag, at, at.drop or boilerplate(tag, attrs, articles > 0))
+            node.doubtful = doubtful(tag, attrs)
             at.items.append(node)
             at.kids.append(node)
             if attrs.endswith("/") and tag not in BLOCKS:
@@ -196,6 +233,7 @@ def extract(page: str | None) -> str:
     if not isinstance(page, str) or not page:
         return ""
     root = parse(page)
+    settle(root)
     order = weigh(root)
     best = max(order, key=lambda x: x.total)
     box, x = None, best
@@ -225,11 +263,15 @@ def extract(page: str | None) -> str:
         x = x.parent
     while stack:
         x = stack.pop()
-        if x is best or x not in path:
+        if isinstance(x, str):  # text that stands directly in a node of the path
+            if not top or top[-1].tag != "#text":
+                top.append(Node("#text", None, False))
+            top[-1].items.append(x)
+        elif x is best or x not in path:
             if not x.drop and (x is best or x.density >= threshold):
                 top.append(x)
         else:
-            stack.extend(reversed(x.kids))
+            stack.extend(reversed(x.items))
     return "\n".join(blocks(top))
 
 

@@ -26,6 +26,24 @@ def test_cases(page, want):
     assert extract(page) == want
 
 
+ARTICLE = f"<article><p>{LONG}</p><p>{LONG}</p></article>"
+TWO = f"{LONG.strip()}\n{LONG.strip()}"
+WHOLE = [
+    *[(f"<body><div {a}><nav>menu</nav>{x}<div class='comments'>no</div></div><div class=sidebar>side</div></body>", TWO) for a in ("class='site has-sidebar'", "class='content no-sidebar'", "class=layout-sidebar-right", "class=widget-page", "class='share-enabled'", "id=search") for x in (ARTICLE, f"<div><p>{LONG}</p><p>{LONG}</p></div>")],
+    (f"<body><form action=x>{ARTICLE}<input name=q></form></body>", TWO),
+    (f"<body><form action=x><div><p>{LONG}</p><p>{LONG}</p></div></form></body>", TWO),
+    (f"<article><div class='share-enabled'><p>{LONG}</p><p>{LONG}</p></div></article>", TWO),
+    (f"<body><div>A lead that stands<br>in bare text.<div><p>{LONG}</p><p>{LONG}</p></div></div></body>", f"A lead that stands in bare text.\n{TWO}"),
+    (f"<noscript>Enable scripts</noscript><article><p>{LONG}<math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><noscript><p>kept</p></noscript></article>", f"{LONG}x+1\nkept"),
+    (f"<body><form><p>{LONG}</p></form><div><p>{LONG}</p><p>{LONG}</p></div></body>", TWO),
+]
+
+
+@pytest.mark.parametrize("page,want", WHOLE)
+def test_whole_articles(page, want):
+    assert extract(page) == want
+
+
 def test_pages_of_the_corpus(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in extract_pages(pages).collect()}
