@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,21 +38,25 @@ def group_summaries(df: DataFrame, labels: LabelSpec = LabelSpec(), seed: int =
 
 
 def greedy(rows: list[tuple[int, list[int]]], ratios: dict[str, float]) -> list[int]:
+    """greedy_steps() over all groups."""
+    width = len(rows[0][1]) if rows else 0
+    return list(greedy_steps(rows, ratios, sum(r for r, _ in rows), [sum(c[k] for _, c in rows) for k in range(width)]))
+
+
+def greedy_steps(rows: Iterable[tuple[int, list[int]]], ratios: dict[str, float], n: int, totals: list[int]) -> Iterator[int]:
     """The split of each group (row_count, counters), in the order given: the one with the least score, ties to the first.
 
     The score is four times the squared row deviation plus the mean relative deviation of the
-    counters. Terms are added one by one in a fixed order, so that ties fall the same way everywhere.
+    counters, whose totals over all groups are given with the number of rows. Terms are added one by
+    one in a fixed order, so that ties fall the same way everywhere.
     """
-    width = len(rows[0][1]) if rows else 0
-    n = sum(r for r, _ in rows)
-    totals = [sum(c[k] for _, c in rows) for k in range(width)]
+    width = len(totals)
     share = [ratios[s] for s in SPLITS]
     have, counts = [0] * len(SPLITS), [[0] * len(SPLITS) for _ in range(width)]
     used = [k for k in range(width) if totals[k]]
     targets = [[totals[k] * share[s] for s in range(len(SPLITS))] for k in range(width)]
     row_targets = [n * x for x in share]
     scale, terms = max(n, 1), len(used) * len(SPLITS)
-    out = []
     for size, own in rows:
         best, chosen = None, 0
         for s in range(len(SPLITS)):
@@ -67,31 +73,43 @@ def greedy(rows: list[tuple[int, list[int]]], ratios: dict[str, float]) -> list[
             score = 4.0 * row_score + label_score
             if best is None or score < best:
                 best, chosen = score, s
-        out.append(chosen)
+        yield chosen
         have[chosen] += size
         for k in used:
             counts[k][chosen] += own[k]
-    return out
 
 
 def assign_splits(df: DataFrame, labels: LabelSpec = LabelSpec(), seed: int = SEED, ratios: dict[str, float] | None = None, review_id: str = "review_id", group: str = "group_id", driver_groups: int = DRIVER_GROUPS) -> DataFrame:
     """(review_id, group_id, split), a group never being divided.
 
-    Greedy assignment goes through the groups one after another. Up to `driver_groups` groups that
-    happens in one task; beyond, groups are dealt by their order key into blocks of about that size,
-    each of which is assigned for itself at the same ratios, so that the table as a whole keeps them.
+    Greedy assignment goes through the groups one after another, largest first, in one task at every
+    size: the totals are summed before, and the sorted groups stream through it. `driver_groups` has no
+    effect; it once set from how many groups on they were assigned in independent blocks.
     """
     share, width = normalized_ratios(ratios), len(cells(labels))
+    counters = [f"k{i}" for i in range(width)]
     groups = group_summaries(df, labels, seed, group)
-    blocks = -(-groups.count() // driver_groups) or 1
-    groups = groups.withColumn("__block", F.pmod(F.xxhash64("order_key"), F.lit(blocks)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(minus=-pdf["row_count"]).sort_values(["minus", "order_key", "group_id"])
-        rows = list(zip(pdf["row_count"].tolist(), pdf[[f"k{i}" for i in range(width)]].values.tolist()))
-        return pd.DataFrame({"group_id": pdf["group_id"], "split": [SPLITS[s] for s in greedy(rows, share)]})
-
-    chosen = groups.groupBy("__block").applyInPandas(run, "group_id string, split string")
+    n, *totals = (x or 0 for x in groups.agg(F.sum("row_count"), *[F.sum(k) for k in counters]).first())
+
+    def run(it):
+        held: list = []  # the group ids of the batch at hand
+
+        def feed():
+            for pdf in it:
+                held.append(pdf["group_id"])
+                yield from zip(pdf["row_count"].tolist(), pdf[counters].values.tolist())
+
+        out: list[str] = []
+        for s in greedy_steps(feed(), share, n, totals):
+            out.append(SPLITS[s])
+            while held and len(held[0]) == 0:
+                held.pop(0)
+            if len(out) == len(held[0]):
+                yield pd.DataFrame({"group_id": held.pop(0), "split": out})
+                out = []
+
+    one = groups.repartition(1).sortWithinPartitions(F.desc("row_count"), F.asc_nulls_last("order_key"), F.asc_nulls_last("group_id"))
+    chosen = one.mapInPandas(run, "group_id string, split string")
     return df.select(review_id, F.col(group).alias("group_id")).join(chosen, "group_id").select(review_id, "group_id", "split")
 
 

@@ -141,6 +141,19 @@ def test_group_aware_split(spark):
         split.joined(df, split.assign_splits(df).limit(5))
 
 
+def test_split_is_one_greedy_pass_at_every_size(spark):
+    """More groups than driver_groups, one of them with a third of all rows."""
+    rng = random.Random(3)
+    items = [(f"r{i:03d}", "big" if i < 100 else f"g{i}", f"text {i}", *(rng.randrange(4) for _ in range(5))) for i in range(300)]
+    df = spark.createDataFrame(items, f"review_id string, group_id string, text string, {LABELS}")
+    got = {r.review_id: r.split for r in split.assign_splits(df, driver_groups=20).collect()}
+    groups = sorted(split.group_summaries(df).collect(), key=lambda r: (-r.row_count, r.order_key, r.group_id))
+    width = len(groups[0]) - 3
+    want = reference_greedy([(r.row_count, [r[f"k{k}"] for k in range(width)]) for r in groups], split.normalized_ratios(), width)
+    by = {r.group_id: SPLITS[s] for r, s in zip(groups, want)}
+    assert got == {x[0]: by[x[1]] for x in items}
+
+
 def test_split_checks(spark):
     items = [(f"{s}{x}", f"g{s}{x}", f"text {s} {x}", x, x, x, x, x, s) for s in SPLITS for x in range(4)]
     df = spark.createDataFrame(items, f"review_id string, group_id string, text string, {LABELS}, split string")
