@@ -3,7 +3,8 @@
 The page becomes a tree of its block elements. A node's composite density is its characters per tag,
 adjusted by how much of its text and tags are links and by the page's own share of link text; the
 node whose children's densities have the largest sum holds the article. The threshold is the least
-density on the path from that node to the body: siblings that reach it belong to the article too.
+density on the path from that node to the body: siblings that reach it belong to the article too, and
+containers below it that are mostly links don't.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,17 +21,28 @@ from pyspark.sql import functions as F
 from tallyloom.llm.util import bounded
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|textarea|iframe|select|annotation|annotation-xml)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S | re.I)
+# Every alternative keeps what it has matched and ends at the page's end at the latest, so that a page is read in one pass whatever its markup.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|template|textarea|iframe|select|annotation|annotation-xml)\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z)|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)",
+    re.S | re.I,
+)
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup header footer nav aside form fieldset dialog menu center hr noscript".split())
 DROPPED = frozenset("nav footer aside dialog menu button input select option label fieldset title head object embed canvas audio video".split())
 VOID = frozenset("br hr img input meta link wbr area base col embed source track param".split())
 ENDS_P = BLOCKS - {"html", "body"}
 PHRASE_DROPPED = frozenset("button label option".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|submenu|breadcrumbs?|footer|sidebar|side|ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|disqus|respond|replies|pagination|pager|skip|toolbar|masthead|widget|copyright|legal)(?=$|[\s_-])",
-    re.I,
+# A name is boilerplate if it is made of these words alone, apart from neutral ones: "share-buttons" and "related-posts" are, "related-work" and "search-algorithms" are not.
+NAMED = frozenset(
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar side ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommend recommended recommendation recommendations comment comments commentlist disqus respond replies pagination pager skip toolbar masthead widget copyright legal".split()
 )
-ATTRS = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+NEUTRAL = frozenset("area articles bar block body box button buttons center column container content div entry footer form global group header holder icons inner item items js left link links list lower main media module outer page panel post posts primary region right row secondary section site slot stories thread top bottom unit upper wrap wrapper".split())
+SITE_HEADER = frozenset("header siteheader globalheader topheader topbar".split())
+WORDS = re.compile(r"[^\s_-]+")
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr caption blockquote pre figcaption address summary".split())  # never judged by name
+ATTRS = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?+")
 ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar".split())
 INNER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 
@@ -46,14 +59,19 @@ class Node:
         self.density = self.total = 0.0
 
 
-def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def attributes(raw: str) -> list[tuple[str, str]]:
+    """(name, value) of the attributes that say what an element is."""
+    found = ((n.lower(), v.strip("\"'")) for n, v in ATTRS.findall(raw))
+    return [x for x in found if x[0] in ("class", "id", "role", "hidden", "style")]
+
+
+def boilerplate(tag: str, attrs: list[tuple[str, str]], in_article: bool) -> bool:
     """Whether the element goes whatever it holds: by its tag or role, or because it isn't shown."""
     if tag in DROPPED or (tag in ("header", "noscript") and not in_article):
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
-    for name, value in ATTRS.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in attrs:
         if name == "role" and value.lower() in ROLES or name == "hidden":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -61,13 +79,24 @@ def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def doubtful(tag: str, attrs: str) -> bool:
-    """Whether the element is named like boilerplate, or is a form or search: so may be a wrapper around the page."""
+def named(value: str, in_article: bool) -> bool:
+    """Whether a class or an id is a name of boilerplate."""
+    for name in value.lower().split():
+        words = [w.rstrip("0123456789") for w in WORDS.findall(name)]
+        if any(w in NAMED for w in words) and all(w in NAMED or w in NEUTRAL or not w for w in words):
+            return True
+        if not in_article and "".join(words) in SITE_HEADER:
+            return True
+    return False
+
+
+def doubtful(tag: str, attrs: list[tuple[str, str]], in_article: bool) -> bool:
+    """Whether the element is a container named like boilerplate, or a form or search: so may be a wrapper around the page. Headings, paragraphs and the like are never judged by name."""
     if tag == "form":
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main") or tag in TEXT_TAGS:
         return False
-    return any(n.lower() in ("class", "id") and NAMED.search(v.strip("\"'")) or n.lower() == "role" and v.strip("\"'").lower() in ("search", "form") for n, v in ATTRS.findall(attrs))
+    return any(n in ("class", "id") and named(v, in_article) or n == "role" and v.lower() in ("search", "form") for n, v in attrs)
 
 
 def settle(root: Node) -> None:
@@ -100,8 +129,16 @@ def settle(root: Node) -> None:
 def parse(page: str) -> Node:
     """The tree of block elements; scripts, styles and comments are gone, other inline elements count as tags only."""
     root = Node("body", None, False)
-    at, link, articles, pos = root, 0, 0, 0
-    open_inline: list[str] = []
+    at, link, pos = root, 0, 0
+    opened: Counter[str] = Counter()  # tags of the nodes from the root to `at`, so that a stray end tag needs no search
+
+    def leave(upto: Node) -> None:
+        """Closes all nodes below `upto`."""
+        nonlocal at, link
+        while at is not upto:
+            opened[at.tag] -= 1
+            at = at.parent
+        link = 0
 
     def text(piece: str) -> None:
         if piece:
@@ -125,19 +162,15 @@ def parse(page: str) -> Node:
         if m[2]:
             if tag == "a":
                 link = max(0, link - 1)
-            if tag in BLOCKS or tag in DROPPED:
+            if opened[tag] > 0:
                 x = at
-                while x is not root and x.tag != tag:
+                while x.tag != tag:
                     if x.tag in ("td", "th", "table", "article", "main") and tag in ("p", "li"):
                         x = root
                         break
                     x = x.parent
                 if x is not root:
-                    while at is not x:
-                        articles -= at.tag in ("article", "main")
-                        at = at.parent
-                    articles -= at.tag in ("article", "main")
-                    at, link = at.parent, 0
+                    leave(x.parent)
             continue
         if tag == "br":
             text(" ")
@@ -148,29 +181,30 @@ def parse(page: str) -> Node:
         if tag in VOID and tag != "hr":
             continue
         if tag in BLOCKS or tag in DROPPED:
-            if tag in ENDS_P:
+            if tag in ENDS_P and opened["p"] > 0:
                 x = at
                 while x is not root and x.tag not in ("p", "td", "th", "li", "div", "article", "section", "main"):
                     x = x.parent
                 if x.tag == "p":
-                    at, link = x.parent, 0
+                    leave(x.parent)
             if tag in INNER:
                 x = at
                 while x is not root and x.tag not in INNER[tag] and x.tag != tag and not (tag in ("td", "th") and x.tag in ("td", "th")) and not (tag in ("dt", "dd") and x.tag in ("dt", "dd")):
                     x = x.parent
                 if x is not root and x.tag not in INNER[tag]:
-                    at, link = x.parent, 0
+                    leave(x.parent)
             if tag == "hr":
                 at.items.append(Node("hr", at, at.drop))
                 continue
-            node = Node(tag, at, at.drop or boilerplate(tag, attrs, articles > 0))
-            node.doubtful = doubtful(tag, attrs)
+            said, in_article = attributes(attrs) if attrs else [], opened["article"] + opened["main"] > 0
+            node = Node(tag, at, at.drop or boilerplate(tag, said, in_article))
+            node.doubtful = doubtful(tag, said, in_article)
             at.items.append(node)
             at.kids.append(node)
             if attrs.endswith("/") and tag not in BLOCKS:
                 continue
             at = node
-            articles += tag in ("article", "main")
+            opened[tag] += 1
     if pos < len(page):
         text(entities.unescape(page[pos:]))
     return root
@@ -255,6 +289,9 @@ def extract(page: str | None) -> str:
     while x is not None:
         threshold = min(threshold, x.density)
         x = x.parent
+    for x in order:  # menus among the paragraphs: containers below the threshold whose text is mostly links
+        if x.tag not in TEXT_TAGS and x.link_tags > 1 and 2 * x.link_chars > x.chars and x.density < threshold:
+            x.drop = True
     top, stack = [], [root]
     path = set()
     x = best.parent
@@ -279,7 +316,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """page_id, url, text and n_chars (code points) of each page's main text.
 
     Null, empty or text-free html: empty text. Broken markup (unclosed or stray tags, a page that
-    ends early) is read as browsers do, roughly. Repeated rows give repeated results; an empty table
+    ends early, also inside a tag, which then goes) is read as browsers do, roughly, in time that is linear in its length. Repeated rows give repeated results; an empty table
     gives an empty table; other columns are ignored. Nothing of the article is capped.
     """
 
