@@ -11,9 +11,11 @@ are packed best-fit in one task.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -21,27 +23,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import bounded, cut, partitions, slices
+from tallyloom.llm.util import bounded, cut, partitions, slices, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
 @lru_cache(2)
-def encoder(path: str):
-    """A function text -> ids for a .json tokenizer file; byte-level BPE runs in tiktoken if its ranks lie beside it, which gives the same ids faster."""
-    import os
+def encoder(path: str, special_as_text: bool = False):
+    """A function text -> ids for a .json tokenizer file, as `tokenizers` gives them without added special tokens.
 
+    Byte-level BPE runs in tiktoken if its ranks lie beside the file, which gives the same ids faster. Strings of the file's
+    added tokens that occur in a text get their ids, as they do in `tokenizers`, or are ordinary text with `special_as_text`.
+    """
     ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) for t in added)
+    if os.path.exists(ranks) and plain:
         import public_tokenizers
         import tiktoken
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        special = {t["content"]: t["id"] for t in added if t["content"]}
+        known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
+        return known.encode_ordinary if special_as_text else partial(known.encode, allowed_special="all", disallowed_special=())
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    t.encode_special_tokens = special_as_text
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -57,9 +67,9 @@ def cuts(n: int, capacity: int, floor: int) -> list[int]:
     return out + [n] * (n > 0)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, floor: int, end_id: int, with_ids: bool, doc_id: str, text: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, floor: int, end_id: int, with_ids: bool, doc_id: str, text: str, special_as_text: bool) -> DataFrame:
     def run(it):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special_as_text)
         known = {r: cuts(r, capacity, floor) for r in range(capacity)}
         for pdf in it:
             for a, b in slices(pdf["text"].fillna("").tolist(), 1 << 20):  # a bounded number of ids at a time
@@ -91,15 +101,21 @@ def best_fit(rows: list[tuple[int, int]], capacity: int) -> dict[int, tuple[int,
     return out
 
 
-def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, cut_floor: int = 64, end_id: int = 0, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, cut_floor: int = 64, end_id: int = 0, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", special_as_text: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length (and ids, if with_ids).
 
     Null or empty text: the end token alone. A null doc_id is kept as null. A repeated row is packed
-    as often as it occurs, with pieces that look alike. An empty table gives an empty table; columns
+    as often as it occurs, with pieces that look alike. A string of an added token in a text gets that token's id, unless
+    `special_as_text`. An empty table gives an empty table; columns
     other than the two named ones are ignored. A sequence is padded to `capacity` unless its length
     is a power of two.
     """
-    tall = cut(pieces(docs, tokenizer, capacity, cut_floor, end_id, False, doc_id, text).drop("ids"))
+    every = pieces(docs, tokenizer, capacity, cut_floor, end_id, with_ids, doc_id, text, special_as_text)
+    if with_ids:  # the ids are written once and wait there for their places; a piece's number is final with the table
+        whole = written(every.withColumn("__piece", F.monotonically_increasing_id()))
+        tall = whole.drop("ids")
+    else:
+        tall = cut(every.drop("ids"))
     workers = partitions(docs)
     tall = tall.withColumn("__worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(workers))).withColumn("__m", F.expr(f"{capacity} div length"))
     count = tall.groupBy("__worker", "__m").agg(F.count("*").alias("__n"))
@@ -112,7 +128,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, cut_flo
     rank = F.row_number().over(W.partitionBy("__worker", "__m").orderBy("doc_id", "start", "ids_crc32"))
     ranked = tall.withColumn("__rank", rank).join(count, ["__worker", "__m"]).join(F.broadcast(klass), "__m")
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__rank") - 1).withColumn("__bin", F.expr("__rank div __m"))
-    names = [c for c in tall.columns if not c.startswith("__")]
+    names = [c for c in tall.columns if c not in ("__worker", "__m")]
     full = ranked.where("__bin < __bins").withColumn("sequence_id", F.col("__base") + F.col("__bin"))
     within = W.partitionBy("sequence_id").orderBy("__rank").rowsBetween(W.unboundedPreceding, -1)
     full = full.withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)))
@@ -133,13 +149,5 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, cut_flo
     out = out.withColumn("__used", used).withColumn("padded_length", F.expr(f"CASE WHEN (__used & (__used - 1)) = 0 THEN __used ELSE {capacity}L END")).drop("__used")
     if not with_ids:
         return out
-    # the ids meet their places last and are shuffled once; pieces that look alike are told apart by number
-    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    number = F.row_number().over(W.partitionBy(*key).orderBy("sequence_id", "offset"))
-    placed = out.withColumn("__no", number)
-    full_pieces = pieces(docs, tokenizer, capacity, cut_floor, end_id, True, doc_id, text)
-    full_pieces = full_pieces.withColumn("__no", F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))).withColumnsRenamed({k: f"__{k}" for k in key} | {"__no": "__n"})
-    same = F.col("__no") == F.col("__n")
-    for k in key:
-        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return placed.join(full_pieces, same).select(*key, "sequence_id", "offset", "padded_length", "ids")
+    # the ids meet their places last and are shuffled once
+    return out.join(whole.select("__piece", "ids"), "__piece").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length", "ids")

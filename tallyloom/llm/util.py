@@ -8,6 +8,7 @@ A key therefore reaches its partition at most once per chunk, however hot it is.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.graph import cut  # noqa: F401
+from tallyloom.operators.graph import cut, shared_folder  # noqa: F401
 
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
@@ -34,6 +35,13 @@ def bounded(df: DataFrame, size: int = 4 << 20) -> DataFrame:
     return df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the session's checkpoint folder: its columns are read apart, and its rows are final."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

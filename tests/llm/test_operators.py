@@ -75,8 +75,9 @@ def test_packing(spark, corpus):
     used, padded = check_packing(pdf, docs)
     assert (padded - used).sum() / used.sum() < 0.02
     encode = packing.encoder(tokenizer_path())
-    for d, t in docs[:40]:
-        own = pdf[pdf["doc_id"] == d].sort_values("start")
+    by = dict(list(pdf.sort_values("start").groupby("doc_id")))
+    for d, t in docs:
+        own = by[d]
         assert np.concatenate(own["ids"].tolist()).tolist() == [*encode(t), 0]
         assert (own["start"] == own["length"].cumsum() - own["length"]).all() and (own["doc_tokens"] == own["length"].sum()).all()
         assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in own["ids"]] == own["ids_crc32"].tolist()
@@ -86,9 +87,13 @@ def test_packing_encoder_gives_the_ids_of_tokenizers(corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    for x in [*text_of(corpus).values()][:60] + ["", "<|endoftext|> a", "é \n\n  x", "日本語😊"]:
-        assert packing.encoder(tokenizer_path())(x) == t.encode(x, add_special_tokens=False).ids
+    planted = ["", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n <|endoftext|", "x<|ENDOFTEXT|>y", "é \n\n  x", "日本語😊"]
+    for as_text in (False, True):
+        t.encode_special_tokens = as_text
+        encode = packing.encoder(tokenizer_path(), as_text)
+        for x in [x or "" for x in text_of(corpus).values()] + planted:
+            assert encode(x) == t.encode(x, add_special_tokens=False).ids
+    assert packing.encoder(tokenizer_path())("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 def test_packing_awkward(awkward, nothing):
