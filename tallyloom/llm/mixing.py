@@ -46,14 +46,26 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "__key", "source_size", "target", "__whole", (F.col("target") - F.col("__whole") * F.col("source_size")).alias("__frac"))
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets with __edge: documents whose hash is below it are taken once more than __whole times."""
+def small_side(table: DataFrame, few: bool) -> DataFrame:
+    """A table of a row of some 50 bytes per source, broadcast if they were counted to be few."""
+    return F.broadcast(table) if few else table
+
+
+def thresholds(sizes: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
+    """targets with __edge: documents whose hash is below it are taken once more than __whole times.
+
+    The first level sums all rows before it meets the targets; later ones read only the rows of the edge's buckets. So the
+    row table is never shuffled, however few the sources.
+    """
     edge = targets.select("__key", F.col("__frac").alias("__left"), F.lit(0).cast("long").alias("__prefix"))
     for level in range(HASH_BITS // LEVEL_BITS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
-        own = sizes.withColumn("__b", F.shiftright("__h", shift))
-        own = own.join(edge, (own["__key"] == edge["__key"]) & (F.shiftright("__b", LEVEL_BITS) == edge["__prefix"])).drop(edge["__key"])
-        hist = own.groupBy("__key", "__left", "__b").agg(F.sum("__size").alias("__sum"))
+        own, at = sizes.select("__key", F.shiftright("__h", shift).alias("__b"), "__size"), edge.select("__key", "__left", "__prefix")
+        if level:
+            own = own.withColumn("__prefix", F.shiftright("__b", LEVEL_BITS)).join(small_side(at, few), ["__key", "__prefix"])
+            hist = own.groupBy("__key", "__left", "__b").agg(F.sum("__size").alias("__sum"))
+        else:
+            hist = own.groupBy("__key", "__b").agg(F.sum("__size").alias("__sum")).join(small_side(at.drop("__prefix"), few), "__key")
         upto = W.partitionBy("__key").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # at most 2^LEVEL_BITS rows
         hist = hist.withColumn("__before", F.coalesce(F.sum("__sum").over(upto), F.lit(0))).where("__before <= __left")
         last = hist.groupBy("__key", "__left").agg(F.max_by(F.struct("__b", "__before", "__sum"), "__b").alias("__x"))
@@ -75,11 +87,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
     sizes = cut(docs.select(F.col(source).alias("source"), key.alias("__key"), doc_hash(F.col(doc_id), F.col(text)).alias("__h"), n_words(F.col(text)).alias("__size")))
-    table = cut(thresholds(sizes, source_targets(sizes)))
+    targets = cut(source_targets(sizes))
+    few = targets.count() <= DRIVER_SOURCES
+    table = cut(thresholds(sizes, targets, few))
     table = table.select("__key", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__whole", "__edge")
-    if table.count() <= DRIVER_SOURCES:
-        table = F.broadcast(table)  # a row of some 50 bytes per source, counted above
-    out = docs.withColumns({"__key": key, "__h": doc_hash(F.col(doc_id), F.col(text)), "__size": n_words(F.col(text))}).join(table, "__key", "left")
+    out = docs.withColumns({"__key": key, "__h": doc_hash(F.col(doc_id), F.col(text)), "__size": n_words(F.col(text))}).join(small_side(table, few), "__key", "left")
     times = F.col("__whole") + F.when(F.col("__h") < F.col("__edge"), 1).otherwise(0)
     out = out.withColumns({"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": F.col("__size") * times})
     return out.drop("__key", "__h", "__size", "__source_size", "__target", "__whole", "__edge")
