@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import bounded, crc_of_id, encoded, slices
+from tallyloom.llm.util import bounded, crc_of_id, encoded, pack, slices, unpack
 
 DIMS, PER_LANGUAGE, CENTROIDS, SLACK = 4096, 400, 4, 0.7
 FOLDS, QUANTILE = 4, 0.02
@@ -87,6 +87,11 @@ def left_out(x: np.ndarray, lang: np.ndarray, good: np.ndarray, centroids: int)
 def fit_texts(texts: list[str], langs: list[str], centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
     raw = lowered(texts)
     tf = np.concatenate([vectors(raw[a:b]) for a, b in slices(raw, rows=256)]) if raw else np.zeros((0, DIMS), np.float32)
+    return fit_vectors(tf, np.array([len(r) for r in raw], np.int64), langs, centroids, slack)
+
+
+def fit_vectors(tf: np.ndarray, size: np.ndarray, langs: list[str], centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
+    """Fit on vectors() of sample texts, with their numbers of bytes and languages."""
     idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
     x, names = unit(tf * idf), sorted(set(langs))
     lang = np.array([names.index(y) for y in langs], int)
@@ -101,7 +106,7 @@ def fit_texts(texts: list[str], langs: list[str], centroids: int = CENTROIDS, sl
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     floor = np.full(40, 1.0)
     if len(x):
-        (best, right), size = left_out(x, lang, good, centroids), np.array([len(r) for r in raw])
+        best, right = left_out(x, lang, good, centroids)
         for i in range(40):
             own = best[right & (np.log2(size + 1).astype(int) == i)]
             floor[i] = np.quantile(own, QUANTILE) if len(own) else 1.0
@@ -110,25 +115,42 @@ def fit_texts(texts: list[str], langs: list[str], centroids: int = CENTROIDS, sl
     return Model(names, idf, c.astype(np.float32), owner, slack * floor)
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on about `per_language` rows of each language, those with the lowest id hashes; the sample is the only thing collected."""
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    h = F.pmod(F.xxhash64(F.lit(9), F.col(doc_id)), F.lit(1 << 40))
-    counts = known.groupBy(lang).count().collect()  # a row per language
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, text: str = "text", lang: str = "lang") -> Model:
+    """Fit on about `per_language` distinct texts of each language, those with the lowest hashes; ids have no part in it.
+
+    A row's text is turned into its vector where it lies; the vectors of the sample, which don't grow with the texts, are the
+    only thing collected. Rows without text or language are left out; a text that repeats counts once in its language.
+    """
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    h = F.pmod(F.xxhash64(F.lit(9), F.col("text")), F.lit(1 << 40))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"))).collect()  # a row per language
     if not counts:
         return fit_texts([], [])
     share: Column = F.lit(0)
     for name, n in counts:
-        share = F.when(F.col(lang) == name, F.lit(int(min(1.0, 1.25 * per_language / n) * (1 << 40)))).otherwise(share)
-    rows = known.where(h < share).select(F.col(lang), F.col(text), h.alias("h")).collect()
-    rows.sort(key=lambda r: (r[0], r[2], r[1]))
+        share = F.when(F.col("lang") == name, F.lit(int(min(1.0, 1.25 * per_language / max(1, n)) * (1 << 40)))).otherwise(share)
+
+    def run(it):
+        for pdf in it:
+            raw = lowered(pdf["text"])
+            for a, b in slices(raw, rows=256):
+                blobs = [pack(np.flatnonzero(v).astype("<u2"), v[v != 0]) for v in vectors(raw[a:b])]
+                yield pd.DataFrame({"lang": pdf["lang"].iloc[a:b], "h": pdf["h"].iloc[a:b], "size": [len(r) for r in raw[a:b]], "blob": blobs})
+
+    sample = bounded(known).withColumn("h", h).where(F.col("h") < share).dropDuplicates(["lang", "h"])
+    rows = sample.mapInPandas(run, "lang string, h long, size long, blob binary").collect()
+    rows.sort(key=lambda r: (r[0], r[1]))
     seen: dict[str, int] = {}
     kept = []
-    for name, x, _ in rows:
+    for name, _, size, blob in rows:
         seen[name] = seen.get(name, 0) + 1
         if seen[name] <= per_language:
-            kept.append((x, name))
-    return fit_texts([x for x, _ in kept], [y for _, y in kept], centroids)
+            kept.append((name, size, blob))
+    tf = np.zeros((len(kept), DIMS), np.float32)
+    for i, (_, _, blob) in enumerate(kept):
+        slot, value = unpack(blob)
+        tf[i, slot] = value
+    return fit_vectors(tf, np.array([n for _, n, _ in kept], np.int64), [x for x, _, _ in kept], centroids)
 
 
 def predict_texts(model: Model, texts) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -514,6 +514,43 @@ def test_language_id(spark, corpus, awkward, nothing):
     assert {r.lang_pred for r in langid.identify(awkward, empty).collect()} == {"und"}
 
 
+def nearest_by_hand(model, text):
+    """(language, cosine) of the nearest centroid, gram by gram in plain Python."""
+    raw = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode())
+    raw += b"  "
+    counts = collections.Counter()
+    for k in (1, 2, 3):
+        for i in range(len(raw) - k + 1):
+            gram = raw[i : i + k]
+            if gram != b" " * k:
+                counts[((int.from_bytes(gram, "little") + ((k - 1) << 28)) * 0x9E3779B1) % (1 << 32) >> 20] += 1
+    v = {s: math.log1p(n) * float(model.idf[s]) for s, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    cos = [sum(x * float(c[s]) for s, x in v.items()) / norm for c in model.centroids]
+    best = max(range(len(cos)), key=cos.__getitem__)
+    return model.languages[model.owner[best]], cos[best]
+
+
+def test_language_id_against_brute_force(spark, corpus):
+    model = langid.fit(corpus.where(~langid.held_out(F.col("doc_id"))), per_language=30)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+    texts = [r.text for r in corpus.collect() if r.text and any(map(str.isalpha, r.text)) and len(r.text) < 5000]
+    names, score, _ = langid.predict_texts(model, texts)
+    for x, name, s in zip(texts, names, score):
+        want, cos = nearest_by_hand(model, x)
+        assert abs(cos - s) < 1e-4 and want == name
+
+
+def test_language_id_learns_without_ids_and_from_repeated_rows(spark):
+    """Ids have no part in the sample, and a text that repeats counts once."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(big.where("lang IS NOT NULL"), per_language=50)
+    other = langid.fit(big.withColumn("doc_id", F.lit(None).cast("long")).union(big.where("doc_id < 100")).repartition(5), per_language=50)
+    assert model.languages == other.languages and np.allclose(model.centroids, other.centroids) and len(model.languages) == 4
+    hot = big.where("doc_id = 7").crossJoin(spark.range(3000).select()).union(big)
+    assert langid.fit(hot, per_language=50).languages == model.languages
+
+
 def test_language_id_rejects_what_was_not_learnt(spark):
     """Random letters, base64 and Latin-script languages without samples, at many lengths; clean held-out texts stay."""
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
