@@ -11,6 +11,7 @@ brute force. Repetitions run until two fingerprints at the radius meet with the
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.util import bounded, cut, encoded, mix, partitions, slices, words
 from tallyloom.operators.graph import connected_components
 
-BITS, STRIP, RADIUS, RECALL, LIST_SIZE, LIST_MOST = 256, 7, 52, 0.95, 1024, 32768
-WORDS = BITS // 64
+BITS, STRIP, RADIUS, RECALL, LIST_SIZE, LIST_MOST, DEPTHS = 256, 7, 52, 0.95, 1024, 32768, 3
+WORDS, LONG_RUN = BITS // 64, 64
+_RUN = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]{22,}")
 LOWEST = -(1 << 63)
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[:128] = [i if chr(i).isalnum() else 32 for i in range(128)]
@@ -46,9 +48,33 @@ def repetitions(levels: int, radius: int = RADIUS, recall: float = RECALL) -> in
     return 1 if levels == 0 else math.ceil(math.log(1 - recall) / math.log(1 - meeting(radius, levels)))
 
 
+def unblanked(text: str) -> str:
+    """The text with blanks in its long runs without one: around each letter of a script from Thai on (most of which don't part words), elsewhere after the letters that a hash picks, a quarter of all, so that an edit moves few of the cuts."""
+    cut_up = lambda m: "".join(f" {c} " if c >= "\u0e00" else f"{c} " if ord(c) * 0x9E3779B1 >> 16 & 3 == 0 else c for c in m[0])
+    return _RUN.sub(cut_up, text)
+
+
+def parted(texts: list[str]) -> list[str]:
+    """texts, those with a run of over LONG_RUN bytes without a blank being cut up."""
+    raw = encoded(texts)
+    out = list(texts)
+    for a, b in slices(raw):
+        buf = np.frombuffer(b" ".join(raw[a:b]) + b" ", np.uint8)
+        blank = np.flatnonzero(_TABLE[buf] == 32)
+        long = blank[:-1][np.diff(blank) > LONG_RUN] if len(blank) > 1 else blank[:0]
+        if len(blank) and blank[0] > LONG_RUN:
+            long = np.append(long, 0)
+        if len(long):
+            first = np.cumsum([0] + [len(x) + 1 for x in raw[a : b - 1]])
+            for i in np.unique(np.searchsorted(first, long + 1, "right") - 1):
+                out[a + i] = unblanked(texts[a + i])
+    return out
+
+
 def simhash(texts) -> np.ndarray:
     """(n, WORDS) fingerprints. Case and ASCII punctuation don't matter; a text without a word is hashed as it is."""
-    raw = encoded([x.lower() if isinstance(x, str) else "" for x in texts])
+    texts = parted([x.lower() if isinstance(x, str) else "" for x in texts])
+    raw = encoded(texts)
     out = np.zeros((len(raw), WORDS), np.uint64)
     salts = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
     for a, b in slices(raw):
@@ -122,10 +148,14 @@ def hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def search(ids: np.ndarray, f: np.ndarray, radius: int, seen_before) -> pd.DataFrame:
-    """(id, root, links) of the linked members of one list: the least member that it is connected to, and how many it is linked to for the first time."""
+def search(ids: np.ndarray, f: np.ndarray, block: np.ndarray, radius: int, seen_before) -> pd.DataFrame:
+    """(id, root, links) of the linked members of one list: the least member that it is connected to, and how many it is linked to for the first time. In a list of two blocks only pairs across them count."""
+    across = bool((block != block[0]).any())
     label, links, hit = np.arange(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
     for i, j in close_pairs(f, radius):
+        if across:
+            other = block[i] != block[j]
+            i, j = i[other], j[other]
         label = hook(label, i, j)
         hit[i] = hit[j] = True
         new = ~seen_before(i, j)
@@ -196,8 +226,12 @@ def met_before(f: np.ndarray, path: tuple[int, ...], levels: int, inner: list[in
     return met
 
 
-def links_of(prints: DataFrame, radius: int, recall: float, list_size: int, list_most: int) -> DataFrame:
-    """Rows (id, root, links) over rows (id, f0..f3) of distinct fingerprints."""
+def links_of(prints: DataFrame, radius: int, recall: float, list_size: int, list_most: int, depths: int) -> DataFrame:
+    """Rows (id, root, links) over rows (id, f0..f3) of distinct fingerprints.
+
+    Lists of over list_most rows are recursed into, up to `depths` times. What is over it even then (fingerprints that
+    differ in few bits) is searched in pairs of blocks, each a task's work: exact, and never gathered whole.
+    """
     n, width = prints.count(), partitions(prints)
     levels = max(0, math.ceil(math.log(max(1, n) / list_size, 16) - 1e-9)) if n > list_size else 0
     reps = repetitions(levels, radius, recall)
@@ -210,29 +244,53 @@ def links_of(prints: DataFrame, radius: int, recall: float, list_size: int, list
             bits = bits_of(table(pdf))
             for r in range(reps):
                 key = mix(lists(bits, (r,), levels) + np.uint64(r << 48)).view(np.int64)
-                yield pdf.assign(list=key, rep=r)
+                yield pdf.assign(list=key, rep=r, block=0)
 
-    rows = prints.mapInPandas(spread, f"id long, {flat}, list long, rep long")
+    schema = f"id long, {flat}, list long, rep long, block long"
+    rows = prints.mapInPandas(spread, schema)
+    over = lambda: rows.groupBy("list").count().where(F.col("count") > list_most).collect()  # noqa: E731, at most one in list_most rows
     inner: list[int] = []  # repetitions by depth: the misses of all depths add up to those of the recall
     split: list[np.ndarray] = []  # the lists that are recursed into, by depth; each has over list_most rows
-    while n > list_most and len(split) < 4:
-        hot = cut(rows.groupBy("list").count().where(F.col("count") > list_most).select("list"))
-        found = np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)
-        if not len(found):
+    while n > list_most:
+        big = sorted((np.int64(k).astype(np.uint64), m) for k, m in over())
+        if not big:
             break
-        split.append(np.sort(found))
-        depth = len(split)
+        found, depth = np.array([k for k, _ in big], np.uint64), len(split) + 1
+        if depth > depths:
+            blocks = np.array([-(-2 * m // list_most) for _, m in big], np.int64)
+
+            def paired(it, found=found, blocks=blocks):
+                for pdf in it:
+                    key = pdf["list"].to_numpy(np.int64).view(np.uint64)
+                    hot = np.isin(key, found)
+                    yield pdf[~hot]
+                    pdf, key = pdf[hot], key[hot]
+                    if len(pdf):
+                        n_blocks = blocks[np.searchsorted(found, key)]
+                        own = (mix(pdf["id"].to_numpy(np.int64).view(np.uint64)) % n_blocks.astype(np.uint64)).astype(np.int64)
+                        for k in range(int(n_blocks.max())):
+                            use = n_blocks > k
+                            lo, hi = np.minimum(own, k)[use].astype(np.uint64), np.maximum(own, k)[use].astype(np.uint64)
+                            yield pdf[use].assign(list=mix(key[use] ^ mix((lo << np.uint64(32)) + hi + np.uint64(1))).view(np.int64), block=own[use])
+
+            rows = cut(rows.mapInPandas(paired, schema))
+            break
+        split.append(found)
         inner.append(repetitions(2, radius, 1 - (1 - recall) / 2**depth))
 
-        def deeper(it, depth=depth, count=inner[-1]):
+        def deeper(it, found=found, depth=depth, count=inner[-1]):
             for pdf in it:
+                hot = np.isin(pdf["list"].to_numpy(np.int64).view(np.uint64), found)
+                yield pdf[~hot]
+                pdf = pdf[hot]
+                if not len(pdf):
+                    continue
                 bits, outer, rep = bits_of(table(pdf)), pdf["list"].to_numpy(np.int64).view(np.uint64), pdf["rep"].to_numpy(np.int64)
                 for s in range(count):
                     path = rep | np.array((s + 1) << (4 + 12 * depth), np.uint64).view(np.int64)
                     yield pdf.assign(list=inner_list(outer, bits, depth, s).view(np.int64), rep=path)
 
-        again = rows.join(hot, "list", "left_semi").select("id", *cols, "list", "rep").mapInPandas(deeper, f"id long, {flat}, list long, rep long")
-        rows = cut(rows.join(hot, "list", "left_anti").select("id", *cols, "list", "rep").union(again))
+        rows = cut(rows.mapInPandas(deeper, schema))
     known = prints.sparkSession.sparkContext.broadcast(split)
 
     def brute(it):
@@ -241,7 +299,7 @@ def links_of(prints: DataFrame, radius: int, recall: float, list_size: int, list
         def done():
             g = pd.concat(held, ignore_index=True)
             f = table(g)
-            return search(g["id"].to_numpy(np.int64), f, radius, met_before(f, path_of(int(g["rep"].iloc[0])), levels, inner, known.value))
+            return search(g["id"].to_numpy(np.int64), f, g["block"].to_numpy(np.int64), radius, met_before(f, path_of(int(g["rep"].iloc[0])), levels, inner, known.value))
 
         for pdf in it:
             key = pdf["list"].to_numpy()
@@ -261,14 +319,15 @@ def links_of(prints: DataFrame, radius: int, recall: float, list_size: int, list
     return rows.mapInPandas(brute, "id long, root long, links long").groupBy("id", "root").agg(F.sum("links").alias("links"))
 
 
-def near_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, list_size: int = LIST_SIZE, list_most: int = LIST_MOST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, list_size: int = LIST_SIZE, list_most: int = LIST_MOST, depths: int = DEPTHS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, n_copies (documents with its fingerprint), n_links (other fingerprints and copies that it is linked to).
 
     Classes are the connected components of the links. Null text counts as empty; texts without a
     word are linked if they are equal. A null doc_id counts as the least id, and is returned as null; rows that share an id are
     documents of their own. Links are not lost to group sizes: copies are united by fingerprint
     before the search, and a list of over `list_most` members is recursed into with as many inner
-    repetitions as keep the target recall. Other columns are ignored; an empty table gives an empty
+    repetitions as keep the target recall, up to `depths` (at most 4) times, and beyond that searched in pairs of blocks.
+    Other columns are ignored; an empty table gives an empty
     table.
     """
 
@@ -282,7 +341,7 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, l
     own = slim.mapInPandas(run, "doc_id long, th long, " + ", ".join(f"{c} long" for c in cols))
     own = cut(own.withColumn("id", F.xxhash64(*cols)))
     prints = cut(own.groupBy("id").agg(*[F.first(c).alias(c) for c in cols], F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("copies")))
-    found = cut(links_of(prints.select("id", *cols), radius, recall, list_size, list_most))
+    found = cut(links_of(prints.select("id", *cols), radius, recall, list_size, list_most, depths))
     parts = connected_components(found.where("id <> root").select(F.col("id").alias("src"), F.col("root").alias("dst"))).select(F.col("node").alias("id"), "component")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     linked = prints.select("id", "least", "copies").join(parts, "id").join(links, "id", "left")

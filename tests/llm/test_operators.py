@@ -591,9 +591,9 @@ def test_near_copies(spark, corpus, awkward, nothing):
     assert nearcopies.near_copies(nothing).count() == nearcopies.drop_near_copies(nothing).count() == 0
 
 
-@pytest.mark.parametrize("list_size,list_most", [(4, 10_000), (1_000_000, 40)])
-def test_near_copies_by_recursion(spark, list_size, list_most):
-    """Small lists, and hot lists that are recursed into: recall on planted copies of many distances."""
+@pytest.mark.parametrize("list_size,list_most,depths", [(4, 10_000, 3), (1_000_000, 40, 3), (1_000_000, 20, 1)])
+def test_near_copies_by_recursion(spark, list_size, list_most, depths):
+    """Small lists, hot lists that are recursed into, and ones that stay hot: recall on planted copies of many distances."""
     rng = random.Random(1)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
     docs, pairs = [], []
@@ -606,7 +606,7 @@ def test_near_copies_by_recursion(spark, list_size, list_most):
             docs.append((3 * i + k, " ".join(x)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     links = brute_links([x for _, x in docs], nearcopies.RADIUS)
-    got = {r.doc_id: r for r in nearcopies.near_copies(df, list_size=list_size, list_most=list_most).collect()}
+    got = {r.doc_id: r for r in nearcopies.near_copies(df, list_size=list_size, list_most=list_most, depths=depths).collect()}
     found = sum(got[i].class_id == got[j].class_id for i, j in links)
     assert len(links) > 150 and found >= 0.95 * len(links)
     assert all(len({got[3 * i + k].class_id // 3 for k in range(3)}) == 1 for i in range(60))  # no stranger in a class
@@ -634,6 +634,33 @@ def test_links_are_counted_once_in_lists_recursed_into(spark, list_size, list_mo
     assert sum(got.values()) >= 0.98 * 2 * len(links)
 
 
+def test_lists_that_stay_too_large_are_searched_whole_in_blocks(spark):
+    """No recursion at all: every link is found, and counted once, in pairs of blocks."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    docs = []
+    for i in range(150):
+        x = base[:]
+        for _ in range(rng.randrange(60)):
+            x[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(x)))
+    links = brute_links([x for _, x in docs], nearcopies.RADIUS)
+    want = collections.Counter(k for pair in links for k in pair)
+    got = {r.doc_id: r.n_links for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), list_size=1_000_000, list_most=20, depths=0).collect()}
+    assert len(links) > 900 and got == {i: want[i] for i in range(150)}
+
+
+def test_near_copies_in_scripts_without_blanks():
+    rng = random.Random(4)
+    zh = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(800))
+    code = base64.b64encode(rng.randbytes(3000)).decode()
+    other = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(800)), base64.b64encode(rng.randbytes(3000)).decode()]
+    f = nearcopies.simhash([zh, zh[:300] + "一二" + zh[301:], other[0], code, code[:500] + "QQQ" + code[501:], other[1]])
+    d = lambda i, j: int(np.bitwise_count(f[i] ^ f[j]).sum())
+    assert d(0, 1) < 30 and d(3, 4) < 30 and min(d(0, 2), d(3, 5), d(0, 3)) > 80
+    assert nearcopies.parted(["plain words", "x" * 64, ""]) == ["plain words", "x" * 64, ""]
+
+
 def test_meeting_odds():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2, (400, 256), dtype=np.uint8)
