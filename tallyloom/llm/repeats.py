@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.util import U64, chunked, cut, encoded, mix, pack, partitions, serve, slices, unpack
 
-LENGTH, GRAM, HOT, CHUNK_BYTES = 200, 32, 20_000, 8 << 20
+LENGTH, GRAM, HOT, CHUNK_BYTES, PLACE_BITS = 200, 32, 20_000, 8 << 20, 24
 LOWEST = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -68,14 +68,24 @@ def runs(raw: list[bytes], length: int, gram: int) -> Iterator[tuple]:
     """Per slice of texts: (buffer, its place, first window, last window, anchor, anchor's hash, prefix hashes) of the runs, as places in the buffer."""
     ends = np.cumsum([0] + [len(x) for x in raw])
     for a, b in slices(raw, 1 << 20):
-        buf = np.frombuffer(b"".join(raw[a:b]), np.uint8)
-        n, size = len(buf), np.diff(ends[a : b + 1])
-        if n < length:
+        whole, size = b"".join(raw[a:b]), np.diff(ends[a : b + 1])
+        if len(whole) <= 1 << PLACE_BITS:
+            yield from runs_of(np.frombuffer(whole, np.uint8), int(ends[a]), size, length, gram)
             continue
+        step = (1 << PLACE_BITS) - length + 1  # one very long text: by stretches that share no window
+        for at in range(0, len(whole) - length + 1, step):
+            part = np.frombuffer(whole, np.uint8, min(len(whole) - at, 1 << PLACE_BITS), at)
+            yield from runs_of(part, int(ends[a]) + at, np.array([len(part)]), length, gram)
+
+
+def runs_of(buf: np.ndarray, place: int, size: np.ndarray, length: int, gram: int) -> Iterator[tuple]:
+    """runs() of the texts of one buffer. A window's minimizer is the leftmost of those whose hashes agree in the bits kept, which are the same everywhere: equal windows have equal anchors."""
+    n = len(buf)
+    if n >= length:
         s = prefix_hash(buf)
         m = n - gram + 1
         h = mix((s[gram:] - s[:m]) * powers(BASES[0], n + 1).down[:m])
-        low = U64((1 << n.bit_length()) - 1)
+        low = U64((1 << PLACE_BITS) - 1)
         v = h & ~low | np.arange(m, dtype=U64)
         span, width = 1, length - gram + 1
         while span * 2 <= width:
@@ -83,19 +93,19 @@ def runs(raw: list[bytes], length: int, gram: int) -> Iterator[tuple]:
             span *= 2
         if span < width:
             v = np.minimum(v[: len(v) - (width - span)], v[width - span :])
-        first = ends[a:b] - ends[a]
+        first = np.cumsum(size) - size
         inside = np.zeros(n + 1, np.int32)
         long = size >= length
         np.add.at(inside, first[long], 1)
         np.add.at(inside, (first + size - length + 1)[long], -1)
         start = np.flatnonzero(np.cumsum(inside[: len(v)]) > 0)
         if not len(start):
-            continue
+            return
         anchor = (v[start] & low).astype(np.int64)
         edge = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(start) != 1)) + 1
         lo, hi = start[np.concatenate([[0], edge])], start[np.concatenate([edge - 1, [len(start) - 1]])]
         at = anchor[np.concatenate([[0], edge])]
-        yield buf, ends[a], lo, hi, at, mix(h[at]), s  # mixed again: minima crowd the low end
+        yield buf, place, lo, hi, at, mix(h[at]), s  # mixed again: minima crowd the low end
 
 
 def make_chunk(rows: pd.DataFrame) -> list[tuple[int, bytes]]:
@@ -126,7 +136,7 @@ def ask_anchors(it, parts: int, length: int, gram: int):
             found = [r[5] for r in runs(split(sizes, body), length, gram)]
             keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, U64), return_counts=True)
             at = bounds(keys, parts)
-            rows = [(i, chunk, pack(keys[a:b], np.minimum(n[a:b], 255).astype(np.uint8))) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+            rows = [(i, chunk, pack(keys[a:b], n[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
             yield pd.DataFrame(rows, columns=["part", "chunk", "blob"])
 
 
