@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import U64, chunked, crc_of_id, cut, encoded, mix, pack, partitions, serve, slices, unpack, words
+from tallyloom.llm.util import U64, chunked, crc_of_id, cut, encoded, key_partitions, mix, pack, serve, slices, unpack, words
 
 CHUNK_BYTES, BUCKETS, STEPS, DELETED = 16 << 20, 48, 4, 8
 LOWEST = -(1 << 63)
@@ -165,11 +165,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     training documents all counts are 0. Other columns are ignored; an empty table gives an empty
     table.
     """
-    parts, crc = partitions(docs), crc_of_id(F.col(doc_id))
+    crc = crc_of_id(F.col(doc_id))
     role = F.when(crc % fold == held, HELD).when(F.floor(crc / fold) % DELETED == 0, KEPT_OUT).otherwise(MAIN)
     slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text).alias("text"), role.alias("role"))
     chunks = chunked(slim, make_chunk, "text", chunk_bytes)
-    rows = "part int, chunk string, kind int, blob binary"
+    parts, rows = key_partitions(chunks), "part int, chunk string, kind int, blob binary"
     got = cut(serve(chunks.mapInPandas(lambda it: ask(it, parts), rows), answer, rows, parts))
     stats = sum((unpack(r["blob"])[0] for r in got.where("kind = -1").collect()), np.zeros(8, np.int64))  # a row per key partition
     v, n, v_main, n_main = (int(x) for x in stats[:4])

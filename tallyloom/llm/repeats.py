@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.util import U64, chunked, cut, encoded, mix, pack, partitions, serve, slices, unpack
+from tallyloom.llm.util import U64, chunked, encoded, key_partitions, mix, pack, serve, slices, unpack
 
 LENGTH, GRAM, HOT, CHUNK_BYTES, PLACE_BITS = 200, 32, 20_000, 8 << 20, 24
 LOWEST = -(1 << 63)
@@ -355,9 +355,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     documents of their own. A null id is returned as null. Other columns are ignored; an empty table
     gives an empty table.
     """
-    parts, rows = partitions(docs), "part int, chunk string, blob binary"
+    rows = "part int, chunk string, blob binary"
     slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text).alias("text"))
     chunks = chunked(slim, make_chunk, "text", chunk_bytes).select("chunk", "blob")
+    parts = key_partitions(chunks)
     again = serve(chunks.mapInPandas(lambda it: ask_anchors(it, parts, length, gram), rows), lambda p: answer_anchors(p, hot), rows, parts)
     asks = chunks.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInPandas(lambda a, b: ask_contexts(a, b, parts, length, gram), rows)
     found = serve(asks, lambda p: answer_contexts(p, length), rows, parts)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.graph import cut, shared_folder  # noqa: F401
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, KEY_BYTES = 2 << 20, 32 << 20
 U64 = np.uint64
 
 
@@ -46,6 +46,12 @@ def partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def key_partitions(chunks: DataFrame, share: int = KEY_BYTES) -> int:
+    """As many key partitions as give each some `share` bytes of the chunks, whatever the session's setting; that setting at least."""
+    size = chunks.agg(F.sum(F.length("blob"))).first()[0] or 0
+    return max(partitions(chunks), -(-size // share))
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -181,5 +187,5 @@ def chunked(df: DataFrame, make: Callable[[pd.DataFrame], list[tuple[int, bytes]
 
 
 def serve(asks: DataFrame, answer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, parts: int) -> DataFrame:
-    """answer() gets all the asks of one key partition; there are as many of these as shuffle partitions, so that they stay small as data grow."""
-    return asks.repartition(parts, "part").groupBy("part").applyInPandas(answer, schema)
+    """answer() gets all the asks of one key partition, each of which is a task of its own (no two fall together by a hash)."""
+    return asks.repartitionById(parts, F.col("part")).groupBy("part").applyInPandas(answer, schema)
