@@ -9,6 +9,7 @@ compression distance.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -101,46 +102,71 @@ def fingerprint(texts) -> list[str]:
 LOWEST = -(1 << 63)
 
 
+BUCKET_BYTES = 32 << 20
+
+
+class Ranges:
+    """Ranges of (id, text hash), in descending order, of about equal numbers of rows: an id that holds several quantiles is split by hash."""
+
+    def __init__(self, quantiles: list[int]) -> None:
+        times = sorted(Counter(quantiles).items())
+        self.id = np.array([v for v, k in times for _ in range(k)], np.int64)
+        self.hash = np.array([LOWEST + (1 << 64) // k * i for _, k in times for i in range(k)], np.int64)
+        self.split = [v for v, k in times if k > 1]
+
+    def __len__(self) -> int:
+        return len(self.id) + 1
+
+    def number(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        upto = np.searchsorted(self.id, ids, "right")  # bounds (v, h) with v <= id; where v = id, those with h <= hash
+        for v in self.split:
+            own = ids == v
+            if own.any():
+                upto[own] = np.searchsorted(self.id, v) + np.searchsorted(self.hash[self.id == v], hashes[own], "right")
+        return (len(self.id) - upto).astype(np.int32)
+
+
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (__bucket, __guest, __id, doc_id, text) such that each document and its successor by descending doc_id meet in one bucket, and the number of buckets.
+    """Rows (__bucket, __guest, __id, __h, doc_id, text) such that each document and its successor by descending doc_id meet in one bucket, and the number of buckets.
 
-    Buckets are ranges of doc_id with approximate quantiles as bounds; the first document of a bucket
-    is also sent to the bucket before it (the first bucket's to the last), as a guest that closes it.
-    Only the bounds and one id per bucket reach the driver.
+    Buckets are ranges with approximate quantiles as bounds; the first document of a bucket is also sent
+    to the bucket before it (the first bucket's to the last), as a guest that closes it. Only the bounds
+    and one key per bucket reach the driver.
     """
-    docs = docs.withColumn("__id", F.coalesce("doc_id", F.lit(LOWEST)))
-    n = 2 * partitions(docs)
-    ids = docs.select("__id", "doc_id")
-    bounds = np.array(sorted(set(map(int, ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)))), np.int64)
+    docs = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LOWEST)), "__h": F.xxhash64("text")})
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * partitions(docs), -(-size // BUCKET_BYTES))
+    keys = docs.select("__id", "__h")
+    ranges = Ranges(list(map(int, keys.approxQuantile("__id", [i / n for i in range(1, n)], 0.1 / n))))
 
     @F.pandas_udf("int")
-    def number(x: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, x.to_numpy(np.int64)), dtype="int32")
+    def number(x: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranges.number(x.to_numpy(np.int64), h.to_numpy(np.int64)))
 
-    heads = dict(ids.groupBy(number("__id").alias("b")).agg(F.max("__id")).collect())
+    heads = {b: tuple(k) for b, k in keys.groupBy(number("__id", "__h").alias("b")).agg(F.max(F.struct("__id", "__h"))).collect()}
     order = sorted(heads)
     before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
 
     @F.pandas_udf("array<int>")
-    def places(x: pd.Series) -> pd.Series:
-        own = len(bounds) - np.searchsorted(bounds, x.to_numpy(np.int64))
-        return pd.Series([[b, before[i]] if i in before else [b] for i, b in zip(x, own.tolist())])
+    def places(x: pd.Series, h: pd.Series) -> pd.Series:
+        own = ranges.number(x.to_numpy(np.int64), h.to_numpy(np.int64))
+        return pd.Series([[b, before[k]] if k in before else [b] for k, b in zip(zip(x, h), own.tolist())])
 
-    rows = docs.select("__id", "doc_id", "text", F.posexplode(places("__id")).alias("__guest", "__bucket"))
-    return rows, max(1, len(order))
+    rows = docs.select("__id", "__h", "doc_id", "text", F.posexplode(places("__id", "__h")).alias("__guest", "__bucket"))
+    return rows, len(ranges)
 
 
 def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited text: its last floor(n_chars / 3) code points replaced by as many first ones of the next document.
 
-    The next document is the one after it by descending doc_id (rows of one id by text; null ids
-    last), the first one after the last. Null text counts as empty. An empty text's fingerprint has no
+    The next document is the one after it by descending doc_id (rows of one id by a hash of the text;
+    null ids last), the first one after the last. Null text counts as empty. An empty text's fingerprint has no
     slot filled; two such are alike by 1. Equal texts have equal fingerprints. A single row is its
     own next document. An empty table gives an empty table; other columns are ignored.
     """
     docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, n = with_next(docs)
-    rows = rows.repartition(n, "__bucket").sortWithinPartitions("__bucket", "__guest", F.col("__id").desc(), "text")
+    rows = rows.repartitionById(n, F.col("__bucket")).sortWithinPartitions("__bucket", "__guest", F.col("__id").desc(), F.col("__h").desc(), "text")
 
     def close(held, nxt: str):
         """(row but for near_next, own signature) of a document whose successor's text is known."""

@@ -427,6 +427,21 @@ def test_edited_likeness(spark, corpus, awkward, nothing):
     assert fingerprint.edited_likeness(nothing).count() == 0
 
 
+def test_edited_likeness_with_hot_ids(spark):
+    """Most rows without an id or with one id: these are split by a hash of the text, and each still meets its successor."""
+    rows = [(None, f"no id {i} " * 5) for i in range(60)] + [(7, f"seven {i} " * 4) for i in range(40)] + [(i, f"own {i} " * 3) for i in range(12)] + [(7, "seven 1 " * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parts, n = fingerprint.with_next(df)
+    size = collections.Counter(r[0] for r in parts.select("__bucket").collect())
+    assert n == 8 and len(size) > 5 and max(size.values()) < 40
+    order = sorted(df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (-(r.doc_id if r.doc_id is not None else fingerprint.LOWEST), -r.h, r.text))
+    want = collections.Counter()
+    for r, s in zip(order, order[1:] + order[:1]):
+        edited = r.text[: len(r.text) - len(r.text) // 3] + s.text[: len(r.text) // 3]
+        want[r.doc_id, hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in fingerprint.edited_likeness(df).collect()) == want
+
+
 # language model
 
 
