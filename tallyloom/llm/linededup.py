@@ -112,17 +112,36 @@ def windows(keys: list[int], size: list[int], least: int) -> set[tuple[int, int]
     return out
 
 
-def passes(a: list[int], b: list[int]) -> int:
-    """Number of blocks in alignments of the pairs, in the order of b, that are repeated until none is left."""
-    blocks = 0
+def aligned_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """(first, length) in b of the blocks that alignments of the pairs, in the order of b, find: the first one, then those of what it leaves (moved blocks), until none is left."""
+    blocks: list[tuple[int, int]] = []
     while a:
         at = aligned(a, b)
-        blocks += sum(not k or a[i] != a[at[k - 1]] + 1 or b[i] != b[at[k - 1]] + 1 for k, i in enumerate(at))
+        for k, i in enumerate(at):
+            if k and a[i] == a[at[k - 1]] + 1 and b[i] == b[at[k - 1]] + 1:
+                blocks[-1] = (blocks[-1][0], blocks[-1][1] + 1)
+            else:
+                blocks.append((b[i], 1))
         rest = sorted(set(range(len(a))) - set(at))
         a, b = [a[i] for i in rest], [b[i] for i in rest]
     return blocks
 
 
+HOT_SHARE = 1000
+
+
+def with_first_holders(every: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of `every` (a cut table) whose key others hold too, with the first of these as odid, oth and on, but for the holders' own rows.
+
+    Keys that hold more than one in HOT_SHARE rows, at most HOT_SHARE of them, are broadcast, so that none goes to one task.
+    """
+    shared = cut(every.groupBy("key").agg(F.min(F.struct("did", "th", "n")).alias("first"), F.count("*").alias("df")).where("df > 1"))
+    most = max(1000, every.count() // HOT_SHARE)
+    hot, cold = F.broadcast(shared.where(F.col("df") > most)), shared.where(F.col("df") <= most)
+    met = every.join(hot, "key").union(every.join(hot, "key", "left_anti").join(cold, "key")).where("first.did <> did OR first.th <> th")
+    return met.select("did", "th", F.col("first.did").alias("odid"), F.col("first.th").alias("oth"), "n", F.col("first.n").alias("on"), *columns)
+
+
 def slim_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return bounded(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("did"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
 
@@ -144,9 +163,7 @@ def block_deletions(docs: DataFrame, min_chars: int, doc_id: str, text: str) ->
             yield pd.DataFrame({"did": out[:, 0], "th": out[:, 1], "n": out[:, 2].astype("i4"), "len": out[:, 3].astype("i4"), "key": out[:, 4]})
 
     every = cut(slim_of(docs, doc_id, text).mapInPandas(run, "did long, th long, n int, len int, key long"))
-    shared = every.groupBy("key").agg(F.min(F.struct("did", "th", "n")).alias("first"), F.count("*").alias("df")).where("df > 1")
-    met = every.join(shared, "key").where("first.did <> did OR first.th <> th")
-    met = met.select("did", "th", F.col("first.did").alias("odid"), F.col("first.th").alias("oth"), "n", F.col("first.n").alias("on"), "len")
+    met = with_first_holders(every, ["len"])
     met = met.repartition(partitions(docs), "did", "th").sortWithinPartitions("did", "th", "odid", "oth", "n")
 
     def align(it):
@@ -155,8 +172,10 @@ def block_deletions(docs: DataFrame, min_chars: int, doc_id: str, text: str) ->
         def pair_done():
             nonlocal blocks
             b = sorted(held)
-            blocks += passes([held[i] for i in b], b)
-            gone.update(b)
+            found = aligned_blocks([held[i] for i in b], b)
+            blocks += len(found)
+            for first, size in found:
+                gone.update(range(first, first + size))
             held.clear()
 
         for pdf in it:
@@ -188,9 +207,7 @@ def deletions(docs: DataFrame, rules: Rules, doc_id: str, text: str) -> DataFram
             yield pd.DataFrame({"did": out[:, 0], "th": out[:, 1], "n": out[:, 2].astype("i4"), "key": out[:, 3], "size": out[:, 4].astype("i4")})
 
     every = cut(slim.mapInPandas(run, "did long, th long, n int, key long, size int"))
-    shared = every.groupBy("key").agg(F.min(F.struct("did", "th", "n")).alias("first"), F.count("*").alias("df")).where("df > 1")
-    met = every.join(shared, "key").where("first.did <> did OR first.th <> th")
-    met = met.select("did", "th", F.col("first.did").alias("odid"), F.col("first.th").alias("oth"), "n", F.col("first.n").alias("on"), "size", "df")
+    met = with_first_holders(every, ["size", "df"])
     met = met.repartition(partitions(docs), "did", "th").sortWithinPartitions("did", "th", "odid", "oth", "n")
 
     def align(it):
@@ -260,6 +277,5 @@ def dedup_lines(docs: DataFrame, rules: Rules | None = None, doc_id: str = "doc_
         return pd.DataFrame({"text": pd.Series(texts, dtype=object), "n_lines": counts})
 
     out = out.withColumn("__r", strip(F.col(text), F.col("__gone")))
-    out = out.withColumns({text: F.col("__r.text"), "n_lines": F.col("__r.n_lines"), "n_deleted": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "n_blocks": F.coalesce("__blocks", F.lit(0)).cast("long")})
-    out = out.withColumn("n_deleted", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
+    out = out.withColumns({text: F.col("__r.text"), "n_lines": F.col("__r.n_lines"), "n_deleted": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"), "n_blocks": F.coalesce("__blocks", F.lit(0)).cast("long")})
     return out.drop("__r", "__did", "__th", "__gone", "__blocks")
