@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import langid, linededup, mixing, nearcopies, packing
 from tallyloom.llm.queries import tokenizer_path
-from tallyloom.operators.graph import shared_folder
+from tallyloom.operators.graph import remove, shared_folder
 
+#: Bits in which the fingerprints of a text and of its near copy may differ (of 256) where line dedup has taken up to half of the copy: an angle of 49 degrees; unrelated texts lie at 90.
+TORN_RADIUS = 70
 #: No stage but the last is SQL: language models, patience diff, SimHash and tokenizers are tested against brute force.
 ORACLE_SQL = None
 
@@ -34,8 +36,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup; one document of each class stays."""
-    return nearcopies.drop_near_copies(docs).select(*docs.columns)
+    """SimHash near-dedup; one document of each class stays. Copies whose shared lines went before are farther from each other than whole ones: see TORN_RADIUS."""
+    return nearcopies.drop_near_copies(docs, radius=TORN_RADIUS).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +60,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage over documents; stages hand over in the session's checkpoint folder, a temporary one where none is set."""
-    where = shared_folder(spark)
+    """Rows of the last stage over documents; stages hand over in the session's checkpoint folder, where a stage's table goes once the next one's is whole."""
+    where, last = shared_folder(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{where}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
