@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.util import bounded, crc_of_id, encoded, pack, slices, unpack
 
 DIMS, PER_LANGUAGE, CENTROIDS, SLACK = 4096, 400, 4, 0.7
-FOLDS, QUANTILE = 4, 0.02
+FOLDS, QUANTILE, LONG_CLASS = 4, 0.02, 12  # texts of 4 KB and more are one class of length: the longest are few
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[:128] = [i if 97 <= i <= 122 else 32 for i in range(128)]
 
@@ -107,8 +107,9 @@ def fit_vectors(tf: np.ndarray, size: np.ndarray, langs: list[str], centroids: i
     floor = np.full(40, 1.0)
     if len(x):
         best, right = left_out(x, lang, good, centroids)
+        klass = np.minimum(np.log2(size + 1).astype(int), LONG_CLASS)
         for i in range(40):
-            own = best[right & (np.log2(size + 1).astype(int) == i)]
+            own = best[right & (klass == min(i, LONG_CLASS))]
             floor[i] = np.quantile(own, QUANTILE) if len(own) else 1.0
         floor = np.minimum.accumulate(floor[::-1])[::-1]  # a longer text never needs less
         floor[floor == 1.0] = floor[floor < 1.0].max(initial=0.0)
