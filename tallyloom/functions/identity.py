@@ -100,6 +100,12 @@ def require_unique(df: DataFrame, key: str, identity: list[str]) -> None:
         raise ValueError(f"{'collision of' if worst["__k"] > 1 else 'duplicate'} {key} {worst[key]}")
 
 
+def sha_digest(df: DataFrame) -> Column:
+    """content_digest() by SHA-256 of the values as text, which SQL can reproduce."""
+    one = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns]), 256)
+    return F.sum(F.conv(F.substring(one, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def content_digest(df: DataFrame) -> Column:
     """An order-insensitive digest of rows for use in agg(): equal rows add up rather than cancel."""
     return F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.functions.identity import duplicate_group_id
+from tallyloom.operators.graph import cut
 from tallyloom.operators.validate import require
 from tallyloom.spec import TableSpec
 
@@ -57,7 +58,7 @@ def groups(df: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame:
 
 def members(df: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame:
     """(split, group_id, row, id) of the members of groups, one row each: no list of members is ever gathered."""
-    every = keyed(df, spec).select(F.col(spec.split).alias("split"), "group_id", F.col(spec.row).alias("row"), F.col(spec.id).alias("id"))
+    every = cut(keyed(df, spec).select(F.col(spec.split).alias("split"), "group_id", F.col(spec.row).alias("row"), F.col(spec.id).alias("id")))
     many = every.groupBy("split", "group_id").count().where("count > 1").drop("count")
     return every.join(many, ["split", "group_id"], "left_semi")
 

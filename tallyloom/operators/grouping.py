@@ -79,12 +79,14 @@ def assign_groups(df: DataFrame, evidence: dict[str, DataFrame], policy: str = "
     group; group ids depend on the members alone, not on input order. Members are
     streamed through the hash in order; singletons skip that step.
     """
+    cols = labels.columns
+    slim = cut(df.select(review_id, *cols))  # read by every step; the rest of df, texts included, only once, by the last one
+    evidence = {k: cut(e.select("src", "dst")) for k, e in evidence.items()}
     if not checked:
-        check_rows(df, labels, review_id)
-    roots = cut(components(df, evidence, review_id))
+        check_rows(slim, labels, review_id)
+    roots = cut(components(slim, evidence, review_id))
     rows = df.join(roots, review_id)
-    cols = labels.columns
-    facts = rows.groupBy("root").agg(F.count("*").alias("group_size"), *spread(cols))
+    facts = slim.join(roots, review_id).groupBy("root").agg(F.count("*").alias("group_size"), *spread(cols))
     conflict, mixed = from_spread(cols, F.col("group_size"))
     facts = facts.select("root", "group_size", conflict.alias("group_conflicting_label_columns"), mixed.alias("group_mixed_missing_label_columns"))
     many = facts.where("group_size > 1").select("root")

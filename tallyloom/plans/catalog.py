@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import identity
@@ -198,6 +198,29 @@ def near_summary(spark, sf):
     return near.analyze(reviews(spark, sf), SPEC)["summary"]
 
 
+def native_ratio(a: Column, b: Column, most: int | None) -> Column:
+    """Share of the earlier text's words that the later one has: a ratio that depends on the order, like the sequence ratio, and that SQL can reproduce."""
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    return F.size(F.array_intersect(words(a), words(b))) / F.size(words(a))
+
+
+def native_near(spark, sf) -> dict[str, DataFrame]:
+    return near.analyze(reviews(spark, sf), SPEC, NATIVE, sha2_64, native_ratio)
+
+
+def near_pairs_native(spark, sf):
+    got = native_near(spark, sf)["pairs"].withColumn("distance", F.col("distance").cast("long"))
+    return rounded(got.withColumns({c: F.concat_ws("|", c) for c in ("conflicting", "mixed_missing")}))
+
+
+def near_clusters_native(spark, sf):
+    return rounded(native_near(spark, sf)["clusters"].withColumns({c: F.concat_ws("|", c) for c in ("conflicting", "mixed_missing")}))
+
+
+def near_summary_native(spark, sf):
+    return native_near(spark, sf)["summary"]
+
+
 def interim(spark, sf) -> DataFrame:
     return preprocess.interim_rows(reviews(spark, sf), NAME, REVISION, SPEC)
 
@@ -325,8 +348,8 @@ def missing_split_ids(spark, sf):
 
 
 def split_check(spark, sf):
-    g = cut(exact_grouped(spark, sf))
-    return split.check(g, split.assign_splits(g)).withColumnRenamed("count", "n")
+    g = cut(leaky(spark, sf))
+    return split.check(g, g, tolerance=0.02).withColumnRenamed("count", "n")
 
 
 def median_sample(spark, sf):
@@ -369,14 +392,14 @@ def even_sample(spark, sf):
 
 
 def table_metadata(spark, sf):
-    return io.metadata(read(spark, sf, "documents"), "lang", NAME, REVISION)
+    return io.metadata(read(spark, sf, "documents"), "lang", NAME, REVISION, identity.sha_digest)
 
 
 PLAIN = (
     validate_issue_counts, validate_issue_samples, validate_status, validate_duplicate_rows, validate_duplicate_text, processed_contract, label_rollup,
     label_distribution, label_missing, mentioned_aspects, text_availability, length_percentiles, length_fences, threshold_counts, longest_documents, pattern_signals, conversation_lengths,
     exact_raw_summary, exact_norm_summary, exact_groups, exact_members, exact_label_conflicts,
-    near_signatures, near_band_matches, near_candidates, near_candidate_counts, near_jaccard, near_pairs, near_clusters, near_summary,
+    near_signatures, near_band_matches, near_candidates, near_candidate_counts, near_jaccard, near_pairs, near_clusters, near_summary, near_pairs_native, near_clusters_native, near_summary_native,
     interim_projection, review_ids, order_keys, group_components, group_ids, group_conflicts, group_policy_flags, group_summary, preprocess_audit, interim_table,
     split_assignment, hash_split, split_summary, split_labels, split_drift, group_leakage, text_leakage, split_contract_issues, missing_split_ids, split_check,
     median_sample, mixed_sentiment_samples, product_code_rows, product_code_samples, class_balance, length_histogram, label_chart, even_sample, table_metadata,

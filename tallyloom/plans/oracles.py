@@ -127,6 +127,20 @@ mg AS (SELECT *, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.7::DOUBLE + 0
 LEAKY = f"{GROUPED}, lk AS (SELECT *, CASE WHEN source_id % 3 = 0 THEN 'train' WHEN source_id % 3 = 1 THEN 'validation' ELSE 'test' END AS split FROM eg)"
 FAULTY = f"""{MERGED}, fm AS (SELECT CASE WHEN source_id % 53 = 1 THEN 'x' || source_id ELSE review_id END AS review_id, CASE WHEN source_id % 59 = 2 THEN 'g' ELSE group_id END AS group_id,
   CASE WHEN source_id % 61 = 3 THEN 'dev' ELSE split END AS split FROM mg)"""
+NEAR = f"""{R}, {SIGNATURES}, rr AS (SELECT *, {norm('text')} AS norm FROM r), tg AS (SELECT split, row, norm, list_distinct([substr(norm, j, 3) for j in range(1, length(norm) - 1)]) AS g FROM n),
+tp AS (SELECT cd.split, distance, a.norm AS na, b.norm AS nb, least(length(a.norm), length(b.norm)) / greatest(length(a.norm), length(b.norm)) AS lr, len(list_intersect(a.g, b.g)) AS x, len(a.g) + len(b.g) AS y
+  FROM cd JOIN tg a ON a.split = cd.split AND a.row = first_row JOIN tg b ON b.split = cd.split AND b.row = second_row),
+rp AS (SELECT tp.split, distance, lr AS length_ratio, x / (y - x) AS jaccard, least(p.source_id, q.source_id) AS first_row, greatest(p.source_id, q.source_id) AS second_row,
+  CASE WHEN p.source_id < q.source_id THEN na ELSE nb END AS n1, CASE WHEN p.source_id < q.source_id THEN nb ELSE na END AS n2,
+  concat_ws('|', {', '.join(f"CASE WHEN p.{a} <> q.{a} THEN '{a}' END" for a in ASPECTS)}) AS conflicting, concat_ws('|', {', '.join(f"CASE WHEN (p.{a} IS NULL) <> (q.{a} IS NULL) THEN '{a}' END" for a in ASPECTS)}) AS mixed_missing
+  FROM tp JOIN rr p ON p.source_split = tp.split AND p.norm = na JOIN rr q ON q.source_split = tp.split AND q.norm = nb WHERE lr >= 0.65 AND x / (y - x) >= 0.60),
+ws AS (SELECT *, len(list_intersect(list_distinct(string_split(n1, ' ')), list_distinct(string_split(n2, ' ')))) / len(list_distinct(string_split(n1, ' '))) AS ratio FROM rp),
+np AS (SELECT *, CASE WHEN jaccard >= 0.72 AND ratio >= 0.82 THEN 'high_confidence' WHEN ratio >= 0.75 THEN 'needs_review' END AS confidence FROM ws WHERE ratio >= 0.75)"""
+CLUSTERS = """hp AS (SELECT split, first_row AS a, second_row AS b FROM np WHERE confidence = 'high_confidence'), he AS (SELECT split, a, b FROM hp UNION SELECT split, b, a FROM hp),
+hr AS (SELECT split, a, a AS b FROM he UNION SELECT hr.split, hr.a, he.b FROM hr JOIN he ON hr.split = he.split AND hr.b = he.a),
+mb AS (SELECT split, a AS row, min(b) AS root FROM hr GROUP BY split, a),
+ec AS (SELECT np.split, root, count(*) AS edge_count, min(jaccard) AS min_jaccard, min(ratio) AS min_ratio FROM np JOIN mb ON mb.split = np.split AND mb.row = first_row WHERE confidence = 'high_confidence' GROUP BY ALL)"""
+CLUSTER_ROWS = f"""cl AS (SELECT mb.split, root, sha256(string_agg(source_id::VARCHAR, '|' ORDER BY source_id)) AS cluster_id, count(*) AS member_count, {listed(0)} AS conflicting, {listed(1)} AS mixed_missing FROM mb JOIN r ON source_id = mb.row GROUP BY ALL)"""
 GRID = "gd AS (SELECT s.split, c.aspect, c.label FROM (VALUES " + ", ".join(f"('{s}')" for s in SPLITS) + ") s(split), (VALUES " + ", ".join(f"('{a}', '{x}')" for a, x in CELLS) + ") c(aspect, label))"
 CODES = f"""{R}, cs AS (SELECT source_id, text || CASE source_id % 9 WHEN 1 THEN ' AB-' || source_id WHEN 2 THEN ' ABC' WHEN 3 THEN ' 12-34' WHEN 4 THEN ' A1x' ELSE '' END AS text FROM r),
 wd AS (SELECT source_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_-]+')) AS w FROM cs),
@@ -188,6 +202,25 @@ ORACLES = {
       p AS (SELECT cd.split, first_row, second_row, least(length(a.norm), length(b.norm)) / greatest(length(a.norm), length(b.norm)) AS lr, len(list_intersect(a.g, b.g)) AS x, len(a.g) + len(b.g) AS y
         FROM cd JOIN tg a ON a.split = cd.split AND a.row = first_row JOIN tg b ON b.split = cd.split AND b.row = second_row)
       SELECT split, first_row, second_row, round(lr, 6) AS length_ratio, round(x / (y - x), 6) AS jaccard FROM p WHERE lr >= 0.65 AND x / (y - x) >= 0.60""",
+    "near_pairs_native": f"""WITH {NEAR} SELECT sha256(sha256(n1) || ':' || sha256(n2)) AS pair_id, split, first_row, second_row, first_row AS first_id, second_row AS second_id, distance, round(length_ratio, 6) AS length_ratio, round(jaccard, 6) AS jaccard, round(ratio, 6) AS sequence_ratio, confidence, conflicting, mixed_missing FROM np""",
+    "near_clusters_native": f"""WITH RECURSIVE {NEAR}, {CLUSTERS}, {CLUSTER_ROWS} SELECT cluster_id, split, root AS first_row, member_count, edge_count, round(min_jaccard, 6) AS min_jaccard, round(min_ratio, 6) AS min_sequence_ratio, conflicting, mixed_missing FROM cl JOIN ec USING (split, root)""",
+    "near_summary_native": f"""WITH RECURSIVE {NEAR}, {CLUSTERS}, {CLUSTER_ROWS}, t AS (SELECT source_split AS split, count(*) AS rows FROM r GROUP BY 1), e1 AS (SELECT split, sum(n)::BIGINT AS eligible FROM el GROUP BY 1),
+      bm AS (SELECT split, sum(m * (m - 1) // 2)::BIGINT AS raw_matches FROM (SELECT split, sum(n)::BIGINT AS m FROM bd GROUP BY split, band, key) GROUP BY 1),
+      cp AS (SELECT split, sum(w)::BIGINT AS candidate_pairs FROM (SELECT split, n_1 * n_2 AS w FROM cd UNION ALL SELECT split, n * (n - 1) // 2 FROM sg) GROUP BY 1),
+      vp AS (SELECT split, count(*) AS verified_pairs, count(*) FILTER (confidence = 'high_confidence') AS high_pairs, count(*) FILTER (confidence = 'needs_review') AS review_pairs, count(*) FILTER (conflicting <> '') AS conflict_pairs FROM np GROUP BY 1),
+      cs AS (SELECT split, count(*) AS clusters, count(*) FILTER (conflicting <> '') AS conflict_clusters, sum(member_count)::BIGINT AS clustered_rows FROM cl GROUP BY 1)
+      SELECT t.split, rows, coalesce(eligible, 0) AS eligible, coalesce(raw_matches, 0) AS raw_matches, coalesce(candidate_pairs, 0) AS candidate_pairs, coalesce(verified_pairs, 0) AS verified_pairs, coalesce(high_pairs, 0) AS high_pairs, coalesce(review_pairs, 0) AS review_pairs, coalesce(conflict_pairs, 0) AS conflict_pairs,
+        coalesce(clusters, 0) AS clusters, coalesce(conflict_clusters, 0) AS conflict_clusters, coalesce(clustered_rows, 0) AS clustered_rows, rows - coalesce(eligible, 0) AS excluded
+      FROM t LEFT JOIN e1 USING (split) LEFT JOIN bm USING (split) LEFT JOIN cp USING (split) LEFT JOIN vp USING (split) LEFT JOIN cs USING (split)""",
+    "split_check": f"WITH {LEAKY}, t AS (SELECT split, count(*) AS n FROM lk GROUP BY 1), q AS ("
+    + union([f"SELECT split, '{a}' AS aspect, '{x}' AS label, {cell(a, x)} AS k FROM lk GROUP BY 1" for a, x in CELLS])
+    + f"""), o AS (SELECT aspect, label, sum(k) / (SELECT count(*) FROM lk) AS a FROM q GROUP BY ALL),
+      z AS (SELECT 'group_id_crosses_splits' AS code, count(*) AS n FROM (SELECT 1 FROM lk GROUP BY group_id HAVING count(DISTINCT split) > 1)
+        UNION ALL SELECT 'normalized_exact_duplicate_crosses_splits', count(*) FROM (SELECT 1 FROM lk GROUP BY {squeezed('text')} HAVING count(DISTINCT split) > 1)
+        UNION ALL SELECT 'label_distribution_drift_exceeds_tolerance', count(*) FROM q JOIN t USING (split) JOIN o USING (aspect, label) WHERE abs(q.k / t.n - o.a) > 0.02)
+      SELECT code, n FROM z WHERE n > 0""",
+    "table_metadata": """SELECT lang AS split, count(*) AS rows, sum(('0x' || substr(sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(0)), coalesce(text, chr(0)), coalesce(source, chr(0)), coalesce(n_chars::VARCHAR, chr(0)))), 1, 15))::BIGINT)::VARCHAR AS digest,
+      'documents' AS dataset_name, 'r1' AS dataset_revision FROM documents GROUP BY 1""",
     "interim_projection": f"WITH {R}, {INTERIM} SELECT review_id, source_split, source_id, sha256(text) AS text_sha256, {', '.join(ASPECTS)} FROM i",
     "review_ids": f"WITH {R}, {INTERIM} SELECT source_id, review_id FROM i",
     "order_keys": f"WITH {R}, {INTERIM} SELECT review_id, {order_key('review_id')} AS order_key FROM i",

@@ -6,10 +6,11 @@ import hashlib
 import json
 import os
 import tempfile
+from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.identity import content_digest
@@ -83,10 +84,10 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.options(**CSV).schema(schema).csv(path)
 
 
-def metadata(df: DataFrame, split: str, name: str, revision: str) -> DataFrame:
+def metadata(df: DataFrame, split: str, name: str, revision: str, digest: Callable[[DataFrame], Column] = content_digest) -> DataFrame:
     """(split, rows, digest): content identity of each split; the digest does not depend on row order."""
     body = df.drop(split)
-    return df.groupBy(F.col(split).alias("split")).agg(F.count("*").alias("rows"), content_digest(body).alias("digest")).withColumns({"dataset_name": F.lit(name), "dataset_revision": F.lit(revision)})
+    return df.groupBy(F.col(split).alias("split")).agg(F.count("*").alias("rows"), digest(body).alias("digest")).withColumns({"dataset_name": F.lit(name), "dataset_revision": F.lit(revision)})
 
 
 def write_metadata(df: DataFrame, split: str, name: str, revision: str, location: str, path: str | Path) -> dict:

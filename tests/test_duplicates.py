@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.functions.text import duplicate_key
 from tallyloom.functions.similarity import LongestMatch, features, jaccard, sequence_ratio, simhash, trigrams
@@ -71,10 +72,44 @@ def test_pairs_of_copies_are_scored_in_row_order(spark):
     assert s.candidate_pairs == 15 and s.verified_pairs == 8 and s.clustered_rows == 5
 
 
+def skewed_ratio(a, b, most):
+    """A ratio that depends on the order of most pairs."""
+    return F.when(F.conv(F.substring(F.sha2(F.concat(a, F.lit("/"), b), 256), 1, 1), 16, 10).cast("int") < 6, 0.78).otherwise(0.9)
+
+
+@pytest.mark.parametrize("ratio", [skewed_ratio, lambda a, b, most: F.lit(0.9)])
+def test_clusters_and_counts_from_text_pairs_are_those_of_row_pairs(spark, ratio):
+    rng = random.Random(5)
+    families = [[f"{BASE[:60]} {k} {x} {BASE[60:]}" for x in ("một", "hai", "ba", "bốn")] for k in ("đỏ đô thẫm vừa mua hôm qua ở chợ", "tím")]
+    rows = [(i, rng.choice(rng.choice(families)), *[rng.choice([0, 1, None]) for _ in range(5)]) for i in range(60)]
+    got = near.analyze(frame(spark, rows), near=NearSpec(bands=64, band_bits=1, max_hamming=64, review=(0.5, 0.75), high=(0.5, 0.82)), ratio=ratio)
+    pairs = got["pairs"].cache()
+    prep, members = got["prepared"], near.cluster_members(pairs)
+    assert sorted(map(tuple, got["members"].collect())) == sorted(map(tuple, members.collect()))
+    high = pairs.where("confidence = 'high_confidence'").withColumn("edges", F.lit(1))
+    assert sorted(got["clusters"].collect()) == sorted(near.clusters(high, prep, TableSpec(), members).collect())
+    s, every = got["summary"].first(), pairs.collect()
+    assert (s.verified_pairs, s.high_pairs, s.conflict_pairs) == (len(every), sum(r.confidence == "high_confidence" for r in every), sum(bool(r.conflicting) for r in every))
+    assert len(every) > 500
+
+
+def test_clusters_of_hot_texts_form_no_row_pairs(spark):
+    """Two like texts of 50,000 rows each: 2.5 * 10^9 pairs of rows, counted and clustered from one pair of texts."""
+    n = 50_000
+    df = spark.range(2 * n).select(F.col("id").alias("source_id"), F.col("id").alias("row_index"), F.lit("train").alias("source_split"), F.when(F.col("id") % 2 == 0, F.lit(BASE)).otherwise(F.lit(LIKE)).alias("text"), *[(F.col("id") % 3).cast("int").alias(a) for a in ASPECTS])
+    got = near.analyze(df, near=NearSpec(bands=16, band_bits=4, max_hamming=32))
+    s = got["summary"].first()
+    assert (s.verified_pairs, s.high_pairs, s.clusters, s.clustered_rows) == (n * n, n * n, 1, 2 * n)
+    equal = [sum(i % 3 == k for i in range(side, 2 * n, 2)) for k in range(3) for side in (0, 1)]
+    assert s.conflict_pairs == n * n - sum(equal[2 * k] * equal[2 * k + 1] for k in range(3))
+    assert [(c.member_count, c.edge_count) for c in got["clusters"].collect()] == [(2 * n, n * n)]
+
+
 def test_cluster_scores(spark):
     pairs = spark.createDataFrame([("train", 0, 1, 0.8, 0.9, "high_confidence"), ("train", 1, 2, 0.85, 0.91, "high_confidence"), ("train", 4, 5, 0.65, 0.8, "needs_review")], "split string, first_row long, second_row long, jaccard double, sequence_ratio double, confidence string")
     prep = near.prepared(frame(spark, [(i, BASE, *[0] * 5) for i in range(6)]))
-    c = near.clusters(pairs, prep).collect()
+    high = pairs.where("confidence = 'high_confidence'").withColumn("edges", F.lit(1))
+    c = near.clusters(high, prep, TableSpec(), near.cluster_members(pairs)).collect()
     assert [(r.member_count, r.edge_count, r.min_jaccard, r.min_sequence_ratio) for r in c] == [(3, 2, 0.8, 0.9)]
 
 
