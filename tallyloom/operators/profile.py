@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.operators.graph import cut
 from tallyloom.operators.validate import require, non_integer, out_of_range
 from tallyloom.spec import MISSING, PERCENTILES, TableSpec
 
@@ -133,12 +134,22 @@ def pattern_signals(df: DataFrame, spec: TableSpec = TableSpec(), patterns: dict
     return long.select("split", "pattern", "rows", ratio(F.col("rows"), F.col("__n")).alias("proportion"), "occurrences")
 
 
-def even_sample(df: DataFrame, k: int, row: str = "row_index", total: int | None = None) -> DataFrame:
-    """k evenly spaced rows by their 0-based row number, floor(i * n / k); all rows if k reaches n."""
-    if k <= 0:
-        raise ValueError("the sample size must be positive")
-    n = df.count() if total is None else total
+def even_sample(df: DataFrame, k: int, row: str = "row_index") -> DataFrame:
+    """k rows at even steps of the order of `row`, all rows if there are no more; raises ValueError for k < 1.
+
+    Positions are ranks, whatever gaps the column has: its sorted values are numbered by the counts of the partitions, of
+    which one number each reaches the driver. Rows that share a value come together.
+    """
+    if k < 1:
+        raise ValueError("the sample needs at least one row")
+    order = cut(df.select(F.col(row).alias("__row")).orderBy("__row")).select("__row", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
+    sizes = sorted(order.groupBy("__part").count().collect())  # a row per partition
+    n = sum(c for _, c in sizes)
     if k >= n:
         return df
-    want = df.sparkSession.range(k).select(F.least(F.floor(F.col("id") * F.lit(n / k)), F.lit(n - 1)).alias("__row")).distinct()
-    return df.join(want, F.col(row) == F.col("__row"), "left_semi")
+    places, start, wanted = sorted({min(int(i * (n / k)), n - 1) for i in range(k)}), 0, []
+    for part, c in sizes:
+        wanted += [(part, p - start) for p in places if start <= p < start + c]
+        start += c
+    picked = order.join(F.broadcast(df.sparkSession.createDataFrame(wanted, "__part int, __at long")), ["__part", "__at"]).select("__row").distinct()
+    return df.join(F.broadcast(picked), F.col(row) == F.col("__row"), "left_semi")  # k values

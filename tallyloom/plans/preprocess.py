@@ -45,6 +45,12 @@ def near_evidence(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return one.join(ids, ["split", "__id"]).select("src", F.col("review_id").alias("dst"))
 
 
+def member_evidence(members: DataFrame, prep: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges between the review ids of a near cluster's members, as many as members: the same components as all its high-confidence pairs give."""
+    ids = rows.select(F.col("source_split").alias("split"), F.col("source_id").alias("id"), "review_id")
+    return grouping.star_edges(members.join(prep.select("split", "row", "id"), ["split", "row"]).join(ids, ["split", "id"]), ["split", "root"])
+
+
 def listed_evidence(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges from a table of listed groups (group_no, split, member_id); ids unknown to the table raise ValueError."""
     ids = rows.select(F.col("source_split").alias("split"), F.col("source_id").cast("string").alias("member_id"), "review_id")

@@ -20,9 +20,17 @@ CSV = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8"
 CSV_OUT = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def exists(path: str) -> bool:
+    if "://" not in path:
+        return Path(path).exists()
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def guard(paths: list[str | Path], force: bool = False) -> None:
-    """FileExistsError naming the outputs that exist, unless forced."""
-    there = [str(p) for p in paths if Path(p).exists()]
+    """FileExistsError naming the outputs that exist, unless forced. Paths of another file system (scheme://...) are asked through Spark's."""
+    there = [str(p) for p in paths if exists(str(p))]
     if there and not force:
         raise FileExistsError(f"outputs exist: {', '.join(there)}")
 
@@ -84,6 +92,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.options(**CSV).schema(schema).csv(path)
 
 
+def read_labelled_csv(spark: SparkSession, path: str, numbers: list[str], labels: list[str]) -> DataFrame:
+    """A CSV file with a header: the named columns are long, labels double, all others text."""
+    raw = spark.read.options(**CSV).csv(path)
+    kind = {c: "long" for c in numbers} | {c: "double" for c in labels}
+    return raw.select(*[F.col(f"`{c}`").cast(kind.get(c, "string")).alias(c) for c in raw.columns])
+
+
 def metadata(df: DataFrame, split: str, name: str, revision: str, digest: Callable[[DataFrame], Column] = content_digest) -> DataFrame:
     """(split, rows, digest): content identity of each split; the digest does not depend on row order."""
     body = df.drop(split)

@@ -56,6 +56,12 @@ def test_length_statistics_match_plain_python(spark):
     assert (t.short_characters, t.short_tokens, t.long_characters, t.long_tokens) == (6, 8, 1, 8)
 
 
+def test_even_sample_goes_by_rank(spark):
+    """Gaps in the row column: places are ranks, not values."""
+    df = spark.createDataFrame([(10 * i if i < 50 else 1000 + i * i, f"t{i}") for i in range(100)], "row_index long, text string").repartition(7)
+    assert sorted(r.text for r in profile.even_sample(df, 4).collect()) == ["t0", "t25", "t50", "t75"]
+
+
 @pytest.mark.parametrize("k,want", [(4, [0, 2, 5, 7]), (10, list(range(10))), (99, list(range(10))), (1, [0])])
 def test_even_sample(spark, k, want):
     df = spark.range(10).withColumnRenamed("id", "row_index")
