@@ -6,6 +6,7 @@ applies them to the documents table.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,21 @@ TORN_RADIUS = 70
 ORACLE_SQL = None
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage):
+    """The stage, with columns that it doesn't know under names that no result column has meanwhile."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        other = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+        return stage(spark, docs.withColumnsRenamed(other), sf_dir).withColumnsRenamed({v: k for k, v in other.items()})
+
+    return run
+
+
+@apart
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learnt from the labelled rows that are not held out; rejected documents go."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -28,6 +44,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.where("NOT rejected").select(*docs.columns)
 
 
+@apart
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup; a document of which nothing is left goes, and n_chars follows the text."""
     out = linededup.dedup_lines(docs)
@@ -35,11 +52,13 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup; one document of each class stays. Copies whose shared lines went before are farther from each other than whole ones: see TORN_RADIUS."""
     return nearcopies.drop_near_copies(docs, radius=TORN_RADIUS).select(*docs.columns)
 
 
+@apart
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document that the mix uses k times has k rows."""
     return mixing.copies(mixing.mix_sources(docs)).select(*docs.columns)
