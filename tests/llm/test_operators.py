@@ -696,6 +696,59 @@ def test_lists_that_stay_too_large_are_searched_whole_in_blocks(spark):
     assert len(links) > 400 and got == {i: want[i] for i in range(150)}
 
 
+@pytest.mark.parametrize("list_most", [10_000, 2])
+def test_links_are_counted_once_in_parts_of_lists(spark, list_most):
+    """Lists that their tasks search in parts, as they are or, being hot, after more strips: every pair counts once, and few are missed."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    docs = []
+    for i in range(60):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        for k in range(4):
+            x = base[:]
+            for _ in range(k):
+                x[rng.randrange(150)] = rng.choice(vocabulary)
+            docs.append((4 * i + k, " ".join(x)))
+    assert [nearcopies.plan(len(docs), list_size=n)[2] for n in (240, 10, 0.5)] == [0, 1, 2]
+    links = brute_links([x for _, x in docs], nearcopies.RADIUS)
+    want = collections.Counter(k for pair in links for k in pair)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for list_size in (10, 0.5):
+        got = {r.doc_id: r.n_links for r in nearcopies.near_copies(df, list_size=list_size, list_most=list_most, depths=1).collect()}
+        assert len(links) > 300 and all(got[d] <= want[d] for d in got)
+        assert sum(got.values()) >= 0.95 * 2 * len(links)
+    kept = {r.doc_id for r in nearcopies.drop_near_copies(df, list_size=10).collect()}
+    assert kept == {4 * i for i in range(60)}
+
+
+@pytest.mark.parametrize("radius", [nearcopies.RADIUS, 70])
+def test_the_search_of_a_list_does_little_more_than_its_pairs(monkeypatch, radius):
+    """Unrelated fingerprints are told apart by three words at most, at either radius of the repository, and only members of a found pair are asked whether they met before."""
+    rng = np.random.default_rng(8)
+    f = rng.integers(0, 1 << 63, (1000, 4), dtype=np.uint64)
+    f[1] = f[0] ^ np.uint64(1)
+    done, count = [], np.bitwise_count
+    monkeypatch.setattr(nearcopies.np, "bitwise_count", lambda x: done.append(x.size) or count(x))
+    assert [(i.tolist(), j.tolist()) for i, j in nearcopies.close_pairs(f, radius)] == [([0], [1])]
+    monkeypatch.undo()
+    assert sum(done) < 3.5 * (1000**2 / 2 + 128 * 1000 / 2)
+    asked, lists = [], nearcopies.lists
+    monkeypatch.setattr(nearcopies, "lists", lambda bits, *a: asked.append(len(bits)) or lists(bits, *a))
+    met = nearcopies.met_before((150,), 3, [], [])
+    ids = np.arange(1000)
+    out = nearcopies.search_parts(ids, f, np.zeros(1000, np.int64), radius, (150,), 0, 1, met)
+    assert out["id"].tolist() == [0, 1] and out["root"].tolist() == [0, 0] and sum(asked) < 1000 + 2 * 151
+
+
+def test_repetitions_grow_little_with_the_table():
+    """At the fingerprints of 6 and 30 GB each is sent out so often that the lists are under 4 x the input, and two at the radius still meet with probability 0.95."""
+    for n, most in ((2_760_000, 60), (14_000_000, 180)):
+        for radius in (nearcopies.RADIUS, 70):
+            levels, reps, strips, passes = nearcopies.plan(n, radius)
+            assert reps <= most and n / 16 ** (levels + strips) <= nearcopies.LIST_SIZE
+            assert 1 - (1 - nearcopies.meeting(radius, levels) * (1 - (1 - nearcopies.meeting(radius, strips)) ** passes)) ** reps >= nearcopies.RECALL
+
+
 def test_near_copies_in_scripts_without_blanks():
     rng = random.Random(4)
     zh = "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(800))
