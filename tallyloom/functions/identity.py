@@ -27,12 +27,14 @@ def digests(rows: DataFrame, group: list[str], order: list[str], item: Callable[
     """(group columns, digest): SHA-256 of head, the group's last order column joined in order, tail.
 
     The rows of a group are sorted, which may spill, and run through the hash one by one: no group is
-    ever gathered in memory, however large it is.
+    ever gathered in memory, however large it is. Rows are spread by a hash of their own: a repartition by the group
+    itself is dropped where a join below has the same partitioning, which adaptive execution may then undo, and a group
+    that lies in several partitions has several digests.
     """
     kinds, last = dict(rows.dtypes), order[-1]
-    own = rows.select(*group, *[c for c in order if c not in group])
+    own = rows.select(*group, *[c for c in order if c not in group]).withColumn("__at", F.xxhash64(*group))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = own.repartition(n, *group).sortWithinPartitions(*group, *order)
+    own = own.repartition(n, "__at").sortWithinPartitions(*group, *order).drop("__at")
 
     def run(it):
         at, h = None, None

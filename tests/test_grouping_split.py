@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -224,3 +225,24 @@ def test_validation_of_a_stream(spark, tmp_path):
     q = validate_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), TableSpec())
     q.awaitTermination(120)
     assert {r.code for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"null_label"}
+
+
+def test_group_has_one_digest_where_a_join_below_is_replanned(spark):
+    """The join becomes a broadcast one as it runs, whose output is no longer spread by the group."""
+    members = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("r"), F.lpad((F.col("id") % 1000).cast("string"), 4, "0")).alias("root"), F.concat(F.lit("m"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("review_id")).repartition(8).checkpoint()
+    many = members.groupBy("root").count().where("count > 1").select("root").checkpoint()
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}  # as for tables that are estimated larger than they are
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        found = identity.group_ids(members.join(many, "root", "left_semi"), "root", "review_id")
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()  # it doesn't rest on the join's own exchange
+        got = found.collect()
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    by = {}
+    for r in members.collect():
+        by.setdefault(r.root, []).append(r.review_id)
+    body = lambda m: '{"member_review_ids":[' + ",".join(f'"{x}"' for x in sorted(m)) + '],"schema_version":"v1"}'
+    assert sorted(map(tuple, got)) == sorted((root, "group_" + hashlib.sha256(body(m).encode()).hexdigest()) for root, m in by.items())
