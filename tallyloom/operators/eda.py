@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
+from tallyloom.operators.graph import cut
 from tallyloom.operators.profile import label_distribution, lengths, mentions
 from tallyloom.spec import MISSING, TableSpec
 
@@ -63,6 +64,7 @@ def length_histogram(df: DataFrame, spec: TableSpec = TableSpec(), bins: int = B
     """(split, metric, bin, low, high, n) of characters and tokens up to the 99th percentile, in equal bins, empty ones included."""
     sizes = lengths(df, spec)
     h = sizes.select("split", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("characters", "tokens")]))).groupBy("split", "metric", "value").agg(F.count("*").alias("n"))
+    h = cut(h)  # read three times
     top = h.groupBy("split", "metric").agg(F.percentile("value", F.lit(0.99), F.col("n")).alias("p99"))
     kept = h.join(top, ["split", "metric"]).where(F.col("value") <= F.col("p99"))
     edge = kept.groupBy("split", "metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))

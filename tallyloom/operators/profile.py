@@ -70,7 +70,8 @@ def text_availability(df: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame
 def lengths(df: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame:
     """(split, id, row, characters, tokens, lines) of usable rows; text itself stops here."""
     t = F.col(spec.text)
-    return usable(df, spec).select(F.col(spec.split).alias("split"), F.col(spec.id).alias("id"), F.col(spec.row).alias("row"), X.char_count(t).alias("characters"), X.token_count(t).alias("tokens"), X.line_count(t).alias("lines"))
+    out = usable(df, spec).select(F.col(spec.split).alias("split"), F.col(spec.id).alias("id"), F.col(spec.row).alias("row"), X.char_count(t).alias("characters"), X.sizes_of(t).alias("__s"))
+    return out.select("split", "id", "row", "characters", F.col("__s.tokens").alias("tokens"), F.col("__s.lines").alias("lines"))
 
 
 def unpivoted(sizes: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def length_percentiles(sizes: DataFrame) -> DataFrame:
 
 def length_statistics(sizes: DataFrame) -> DataFrame:
     """minimum, maximum, mean, population deviation, IQR, fences and strict outlier counts per split and metric."""
-    h = histogram(sizes)
+    h = cut(histogram(sizes))
     n, v = F.sum("n"), F.col("value").cast("double")
     mean = F.sum(v * F.col("n")) / n
     stats = h.groupBy("split", "metric").agg(n.alias("rows"), F.min("value").alias("minimum"), F.max("value").alias("maximum"), mean.alias("mean"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
@@ -109,7 +110,7 @@ def length_statistics(sizes: DataFrame) -> DataFrame:
 
 def threshold_counts(sizes: DataFrame, short_chars: int = 10, short_tokens: int = 3) -> DataFrame:
     """Rows of at most so many characters and tokens, and of at least the 99th percentile (inclusive)."""
-    h = histogram(sizes)
+    h = cut(histogram(sizes))
     p = h.groupBy("split", "metric").agg(F.percentile("value", F.lit(0.99), F.col("n")).alias("p99"))
     hit = lambda m, test: F.coalesce(F.sum(F.when((F.col("metric") == m) & test, F.col("n"))), F.lit(0))
     return h.join(p, ["split", "metric"]).groupBy("split").agg(
@@ -128,7 +129,9 @@ def longest(df: DataFrame, spec: TableSpec = TableSpec(), most: int = 10) -> Dat
 
 def pattern_signals(df: DataFrame, spec: TableSpec = TableSpec(), patterns: dict[str, str] = X.PATTERNS) -> DataFrame:
     """(split, pattern, rows, proportion, occurrences) per pattern over usable rows; zero rows included."""
-    hits = usable(df, spec).select(F.col(spec.split).alias("split"), *[X.count_of(F.col(spec.text), p).alias(n) for n, p in patterns.items()])
+    counted = usable(df, spec).select(F.col(spec.split).alias("split"), F.col(spec.text).alias("__t"), X.pattern_counts_of(F.col(spec.text)).alias("__c"))
+    known = lambda n, p: X.PATTERNS.get(n) == p
+    hits = counted.select("split", *[(F.col(f"__c.{n}") if known(n, p) else X.count_of(F.col("__t"), p)).alias(n) for n, p in patterns.items()])
     wide = hits.groupBy("split").agg(F.count("*").alias("__n"), *[x for n in patterns for x in (F.count_if(F.col(n) > 0).alias(f"r_{n}"), F.sum(n).alias(f"o_{n}"))])
     long = wide.select("split", "__n", F.inline(F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(f"r_{n}").alias("rows"), F.col(f"o_{n}").alias("occurrences")) for n in patterns])))
     return long.select("split", "pattern", "rows", ratio(F.col("rows"), F.col("__n")).alias("proportion"), "occurrences")

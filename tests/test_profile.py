@@ -1,6 +1,7 @@
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.operators import eda, profile
@@ -106,3 +107,27 @@ def test_samples(spark):
 
 def test_spec_defaults():
     assert TableSpec().labels.columns == ASPECTS
+
+
+ODD = [
+    "", " ", "a\r\nb\rc\n\n", "\r", "\r\n", "x  y\t\tz \t", "!?! .,; a.b ..", "www.a.b HTTPS://x y_http://no zhttp://no Http://", "WWW.\u017f http\u017f://x", "12\u00b2\u2460\u0663 \u2167", "\u00a0\u202f\u200b\ufeff",
+    "\U0001f600\u2600\u20e3\U0001f1fb", "\u00bfqu\u00e9? \u00ab\u2026\u00bb \u3001", "\x1c\x85\u2028 a\x0bb", "\0\0 \t", "\u0130\u0345 \U00020000!!",
+]
+
+
+def test_sizes_and_signals_are_those_of_the_patterns(spark):
+    df = spark.createDataFrame(list(enumerate([*ODD, None] * 40)), "i long, text string").repartition(2)
+    t = F.col("text")
+    got = df.select("i", X.sizes_of(t).alias("s"), X.pattern_counts_of(t).alias("c"), X.keyed_of(t).alias("k"))
+    got = got.select("i", "s.*", "c.*", "k.tokens", F.sha2("k.norm", 256).alias("g")).orderBy("i").collect()
+    norm = X.duplicate_key_of(t)
+    want = df.select("i", X.token_count(t), X.line_count(t), *[X.count_of(t, p) for p in X.PATTERNS.values()], X.count_of(norm, X.WORD + "+"), X.duplicate_key_digest_of(t)).orderBy("i").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(got) == 40 * (len(ODD) + 1)
+
+
+@pytest.mark.parametrize("of", [lambda df: profile.threshold_counts(profile.lengths(df)), lambda df: profile.length_statistics(profile.lengths(df)), eda.length_histogram])
+def test_texts_are_read_once(spark, of):
+    """What is left to run after the lengths are counted does not go back to the texts."""
+    df = spark.range(20).select(F.col("id").alias("source_id"), F.col("id").alias("row_index"), F.lit("train").alias("source_split"), F.repeat(F.lit("a "), F.col("id").cast("int")).alias("text"))
+    plan = of(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "Arrow" not in plan
