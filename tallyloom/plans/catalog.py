@@ -301,8 +301,8 @@ def hash_split(spark, sf):
 
 
 def merged(spark, sf) -> DataFrame:
-    g = exact_grouped(spark, sf)
-    return cut(split.joined(cut(g), split.hash_splits(g)))
+    g = cut(exact_grouped(spark, sf).select("review_id", "group_id", *ASPECTS))  # texts are read and hashed once, and stop here
+    return cut(split.joined(g, split.hash_splits(g)))
 
 
 def leaky(spark, sf) -> DataFrame:
@@ -331,7 +331,7 @@ def text_leakage(spark, sf):
 
 
 def faulty_membership(spark, sf) -> tuple[DataFrame, DataFrame]:
-    g = cut(exact_grouped(spark, sf))
+    g = cut(exact_grouped(spark, sf).select("review_id", "group_id", "source_id"))
     m = split.hash_splits(g).join(g.select("review_id", "source_id"), "review_id")
     i = F.col("source_id")
     m = m.withColumns({"review_id": F.when(i % 53 == 1, F.concat(F.lit("x"), i.cast("string"))).otherwise(F.col("review_id")), "group_id": F.when(i % 59 == 2, F.lit("g")).otherwise(F.col("group_id")), "split": F.when(i % 61 == 3, F.lit("dev")).otherwise(F.col("split"))})

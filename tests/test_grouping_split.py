@@ -246,3 +246,15 @@ def test_group_has_one_digest_where_a_join_below_is_replanned(spark):
         by.setdefault(r.root, []).append(r.review_id)
     body = lambda m: '{"member_review_ids":[' + ",".join(f'"{x}"' for x in sorted(m)) + '],"schema_version":"v1"}'
     assert sorted(map(tuple, got)) == sorted((root, "group_" + hashlib.sha256(body(m).encode()).hexdigest()) for root, m in by.items())
+
+
+@pytest.mark.parametrize("name", ["split_summary", "split_drift", "split_labels"])
+def test_split_tables_hold_no_texts(spark, monkeypatch, name):
+    """Texts go through Python once, for the group id, and are not written again with the rows that carry it."""
+    from tallyloom.plans import catalog
+
+    kept = []
+    monkeypatch.setattr(catalog, "cut", lambda df: kept.append(df.columns) or df.checkpoint())
+    assert getattr(catalog, name)(spark, "/root/testdata/sf0.001").count() > 0
+    assert kept and not any({"text", "source_text"} & set(c) for c in kept)
+
