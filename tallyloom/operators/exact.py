@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
-from tallyloom.functions.identity import duplicate_group_id
 from tallyloom.operators.graph import cut
 from tallyloom.operators.validate import require
 from tallyloom.spec import TableSpec
@@ -37,7 +36,7 @@ def raw_summary(df: DataFrame, spec: TableSpec = TableSpec()) -> DataFrame:
 
 def keyed(df: DataFrame, spec: TableSpec) -> DataFrame:
     """df with group_id (hash of the normalised text) and raw_id; text crosses into Python once."""
-    return df.withColumn("group_id", duplicate_group_id(X.duplicate_key_of(F.col(spec.text)))).withColumn("raw_id", F.sha2(F.col(spec.text), 256))
+    return df.withColumn("group_id", X.duplicate_key_digest_of(F.col(spec.text))).withColumn("raw_id", F.sha2(F.col(spec.text), 256))
 
 
 def group_rows(df: DataFrame, spec: TableSpec) -> DataFrame:
