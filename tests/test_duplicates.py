@@ -141,3 +141,28 @@ def test_components_are_the_transitive_closure(spark, limit):
     df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
     assert {r.node: r.component for r in connected_components(df, driver_edges=limit).collect()} == want
     assert connected_components(df.limit(0), driver_edges=limit).count() == 0
+
+
+@pytest.mark.parametrize("seed,pairs", [(2, 1 << 20), (3, 30), (8, 1 << 20)])
+def test_sequence_ratio_from_long_blocks_is_that_of_difflib(monkeypatch, seed, pairs):
+    monkeypatch.setattr("tallyloom.functions.similarity.SMALL", 8)
+    monkeypatch.setattr("tallyloom.functions.similarity.SEED", seed)
+    monkeypatch.setattr("tallyloom.functions.similarity.SEED_PAIRS", pairs)
+    rng = random.Random(seed)
+    for _ in range(120):
+        a = "".join(rng.choice("abc é") for _ in range(rng.randint(0, 90)))
+        b = a[: rng.randint(0, 90)] + "".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) + a[rng.randint(0, 90) :]
+        for x, y in ((a, b), (b, a), ("ab" * 40, "ab" * 30 + b)):
+            assert sequence_ratio(x, y) == difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+
+def test_sequence_ratio_looks_for_long_blocks_once(monkeypatch):
+    """Near copies are cut along blocks found in one look, not by a search of all lengths for each."""
+    calls, find = [], LongestMatch.find
+    monkeypatch.setattr(LongestMatch, "find", lambda self, *x: calls.append(x) or find(self, *x))
+    rng = random.Random(9)
+    a = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400))
+    b = a
+    for i in range(40):
+        b = b[: i * 60 + 5] + "#" + b[i * 60 + 6 :]
+    assert sequence_ratio(a, b) == difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() and len(calls) <= 2
